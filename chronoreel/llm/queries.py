@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoreel.llm import ann, mixing, range_join, simhash
+from chronoreel.llm import ann, mixing, range_join, simhash, substring
 
 QUERIES = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -44,3 +44,8 @@ def op7(spark, sf_dir):
 @register("op10_mix_sources")
 def op10(spark, sf_dir):
     return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@register("op9_substring_dedup")
+def op9(spark, sf_dir):
+    return substring.remove_repeats(_documents(spark, sf_dir), 50).select("doc_id", "n_words", "n_removed", "kept_sha256")
