@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoreel.llm import ann, mixing, range_join, simhash, substring
+from chronoreel.llm import ann, langid, mixing, range_join, simhash, spm, substring, token_store
 
 QUERIES = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -49,3 +49,25 @@ def op10(spark, sf_dir):
 @register("op9_substring_dedup")
 def op9(spark, sf_dir):
     return substring.remove_repeats(_documents(spark, sf_dir), 50).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@register("op5_language_id")
+def op5(spark, sf_dir):
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "lang", held_out.alias("held_out"))
+    model = langid.learn(docs.where("NOT held_out"))
+    return langid.identify(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score", "accepted")
+
+
+@register("op6_sentencepiece")
+def op6(spark, sf_dir):
+    """Ids of every whole text, and a digest of what they decode to."""
+    found = spm.round_trip(_documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_tokens", "ids", F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
+@register("op8_token_store")
+def op8(spark, sf_dir):
+    folder = token_store.new_folder(spark)
+    token_store.write(_documents(spark, sf_dir), folder)
+    return token_store.read(spark, folder, digest_only=True)
