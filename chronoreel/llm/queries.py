@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoreel.llm import ann, langid, mixing, range_join, simhash, spm, substring, token_store
+from chronoreel.llm import ann, chat, langid, mixing, ngram, range_join, simhash, spm, substring, token_store
 
 QUERIES = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -71,3 +71,16 @@ def op8(spark, sf_dir):
     folder = token_store.new_folder(spark)
     token_store.write(_documents(spark, sf_dir), folder)
     return token_store.read(spark, folder, digest_only=True)
+
+
+@register("op1_ngram_score")
+def op1(spark, sf_dir):
+    return ngram.score(_documents(spark, sf_dir))
+
+
+@register("op4_chat_windows")
+def op4(spark, sf_dir):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.digest(chat.format_windows(turns.union(own)))

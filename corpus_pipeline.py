@@ -1,9 +1,69 @@
-"""A training-corpus pipeline; its stages are filled in as their operators land."""
+"""A training-corpus pipeline: one operator a stage, each on what the one before it kept."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chronoreel.llm import langid, mixing, simhash, spm, substring
+from chronoreel.llm.common import cut
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go whose text has no letter or whose language is refused."""
+    model = langid.learn(docs)
+    return langid.identify(docs.select(*COLUMNS), model).where("accepted").select(*COLUMNS)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, the one with the smallest id; shingles of five words."""
+    groups = simhash.near_duplicates(docs, shingle=5, radius=4)
+    kept = cut(groups.where("doc_id = component_id").select("doc_id").distinct(), "kept")
+    named = docs.select(*COLUMNS).where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
+    # rows that share an id are one document; rows without one can't be told apart and stay
+    one = named.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("r")).select("doc_id", "r.*")
+    return one.unionByName(docs.select(*COLUMNS).where("doc_id IS NULL"))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more that an earlier document has; documents left without a word go."""
+    found = substring.remove_repeats(docs, 50, keep=("lang", "source", "n_chars"))
+    kept = found.where("n_removed < n_words OR n_words = 0")
+    length = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars"))
+    return kept.withColumn("n_chars", length.cast("long")).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: dropped, once, or once more."""
+    taken = mixing.mix(docs).where("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("times"))
+    times = cut(taken.groupBy("doc_id").agg(F.max("times").alias("times")), "times")
+    times = times.withColumnRenamed("doc_id", "of")
+    rows = docs.select(*COLUMNS).join(times, F.col("doc_id").eqNullSafe(F.col("of")))
+    return rows.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of each text, with a digest of what they decode to."""
+    found = spm.round_trip(docs.select("doc_id", "source", "text"))
+    return found.select("doc_id", "source", "n_tokens", "ids", F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("SimHash near-dedup", simhash_near_dedup),
+    ("substring dedup", substring_dedup),
+    ("mixing sources", mix_sources),
+    ("SentencePiece encoding and decoding", sentencepiece),
+]
+
+#: SQL has no expression for the learned model, nor for groups by reach; tested against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name.split()[0].lower())
+    return STAGES[-1][1](spark, docs, sf_dir)
