@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from chronoreel.llm.common import as_bytes, collect_garbage, cut, hash_words, mix64, split_words
 
 #: Tokens that a task combines before it sends, and n-grams wanted in a shard.
-RUN_TOKENS, SHARD_NGRAMS = 1_500_000, 2_000_000
+RUN_TOKENS, SHARD_NGRAMS = 1_500_000, 600_000
 #: Weight of the lower order in tokens, and the share of all tokens from which a context is spread.
 PRIOR, HOT_SHARE = 30.0, 1 / 2_000
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
