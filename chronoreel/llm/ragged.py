@@ -2,48 +2,73 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
 
+def packed(strings: list[str], lists: list[list[int]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Lists of ids as one array and their lengths."""
+    n = np.fromiter(map(len, lists), np.int64, len(lists))
+    return strings, np.fromiter(chain.from_iterable(lists), np.int32, int(n.sum())), n
+
+
+def pick(flat: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` from ``begin``, ``n`` long, one after another."""
+    upto = np.cumsum(n)
+    return flat[np.arange(upto[-1] if len(upto) else 0) + np.repeat(begin - (upto - n), n)]
+
+
 class Memo:
-    """From a string to its ids. Starts afresh beyond ``most`` strings, so memory stays bounded; results don't depend on it."""
+    """From a string to its ids.
+
+    ``encode`` takes new strings and returns them in an order of its own with all their ids
+    and how many each has. Beyond ``most`` strings a new generation begins, which takes over
+    what is still used from the one before; memory stays bounded, results don't depend on it.
+    """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]], most: int = 400_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[list[str], np.ndarray, np.ndarray]], most: int = 250_000):
         self.encode, self.most = encode, most
-        self._clear()
+        self._begin()
+        self.old = (self.code, self.flat, self.begin)
 
-    def _clear(self):
+    def _begin(self):
         self.code: dict[str, int] = {}
         self.flat, self.begin, self.used = np.zeros(1 << 16, np.int32), np.zeros(1, np.int64), 0
 
-    def learn(self, strings: Iterable[str]) -> None:
-        strings = set(strings)
-        if len(self.code) + len(strings) > self.most:
-            self._clear()
-        new = [s for s in strings if s not in self.code]
+    def learn(self, strings: set[str]) -> None:
+        new = list(strings - self.code.keys())
+        if len(self.code) + len(new) > self.most:
+            self.old = (self.code, self.flat, self.begin)
+            self._begin()
+            new = list(strings)
         if not new:
             return
-        lists = list(self.encode(new))
-        n = np.fromiter(map(len, lists), np.int64, len(lists))
-        more = np.fromiter((x for ids in lists for x in ids), np.int32, int(n.sum()))
+        code, flat, begin = self.old
+        kept = [s for s in new if s in code]
+        if kept:
+            at = np.fromiter(map(code.__getitem__, kept), np.int64, len(kept))
+            n = begin[at + 1] - begin[at]
+            self._add(kept, pick(flat, begin[at], n), n)
+            new = [s for s in new if s not in code]
+        if new:
+            self._add(*self.encode(new))
+
+    def _add(self, strings: list[str], more: np.ndarray, n: np.ndarray) -> None:
         if self.used + len(more) > len(self.flat):
             self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(len(more), len(self.flat)), np.int32)])
         self.flat[self.used : self.used + len(more)] = more
         self.begin = np.concatenate([self.begin, self.used + np.cumsum(n)])
         self.used += len(more)
         first = len(self.code)
-        self.code.update(zip(new, range(first, first + len(new)), strict=True))
+        self.code.update(zip(strings, range(first, first + len(strings)), strict=True))
 
     def ids(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, given as lists of strings, one after another; and how many each text has."""
-        self.learn(s for t in texts for s in t)
+        self.learn(set(chain.from_iterable(texts)))
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        get = self.code.__getitem__
-        code = np.fromiter((get(s) for t in texts for s in t), np.int64, int(sizes.sum()))
-        begin, n = self.begin[code], self.begin[code + 1] - self.begin[code]
-        upto = np.cumsum(n)
-        at = np.arange(upto[-1] if len(upto) else 0) + np.repeat(begin - (upto - n), n)
-        total = np.concatenate(([0], upto))[np.concatenate(([0], np.cumsum(sizes)))]
-        return self.flat[at], np.diff(total)
+        code = np.fromiter(map(self.code.__getitem__, chain.from_iterable(texts)), np.int64, int(sizes.sum()))
+        n = self.begin[code + 1] - self.begin[code]
+        total = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(sizes)))]
+        return pick(self.flat, self.begin[code], n), np.diff(total)

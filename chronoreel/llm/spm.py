@@ -18,7 +18,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoreel.llm.ragged import Memo
+from chronoreel.llm.ragged import Memo, packed
 
 MARK = "▁"
 CHUNK = 4_000_000
@@ -210,7 +210,7 @@ def load(path: str) -> tuple[Model, Memo]:
     """Once per process."""
     if path not in _LOADED:
         m = Model(path)
-        _LOADED[path] = m, Memo(m.encode_words)
+        _LOADED[path] = m, Memo(lambda words: packed(words, m.encode_words(words)))
     return _LOADED[path]
 
 

@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoreel.llm.common import collect_garbage, cut, drop, shared_dir
-from chronoreel.llm.ragged import Memo
+from chronoreel.llm.ragged import Memo, packed
 
 MAGIC, LIMIT, BLOCK = b"HTI1", 16, 2_048
 #: Ids wanted in a segment, and characters of text tokenised at once.
-SEGMENT_IDS, CHUNK = 4_000_000, 4_000_000
+SEGMENT_IDS, CHUNK = 4_000_000, 3_000_000
 HEAD = struct.Struct("<4sIQQQ")  # magic, block, documents, ids, bits
 
 
@@ -147,6 +147,7 @@ def from_bytes(content, table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 #: A space between two other characters always begins a token of the byte-level pattern.
 SPLIT = re.compile(r" (?=\S)(?<=\S )")
+SPACE = re.compile(r"\s")
 _LOADED: dict[str, tuple[Memo, Memo]] = {}
 
 
@@ -167,7 +168,30 @@ def load(path: str) -> tuple[Memo, Memo]:
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True  # in a text their strings are text
         one = lambda strings: [e.ids for e in t.encode_batch_fast(strings, add_special_tokens=False)]
-        _LOADED[path] = Memo(one, 50_000), Memo(lambda strings: one([" " + s for s in strings]), 350_000)
+        size = max(t.get_vocab(with_added_tokens=True).values()) + 1
+        opens = np.zeros(size, bool)  # tokens that begin with a space, as the byte-level alphabet writes it
+        opens[[i for s, i in t.get_vocab(with_added_tokens=False).items() if s.startswith("Ġ")]] = True
+
+        def after_space(strings):
+            """As one text for many strings, where only their own first tokens begin with a space."""
+            plain, rest = [], []
+            for x in strings:
+                (rest if SPACE.search(x) else plain).append(x)
+            order, parts, sizes = [], [], []
+            for a in range(0, len(plain), 20_000):
+                own = plain[a : a + 20_000]
+                ids = np.array(t.encode_batch_fast([" " + " ".join(own)], add_special_tokens=False)[0].ids, np.int32)
+                first = np.flatnonzero(opens[ids])
+                if len(first) == len(own):
+                    order += own
+                    parts.append(ids)
+                    sizes.append(np.diff(first, append=len(ids)))
+                else:
+                    rest += own
+            _, flat, n = packed(rest, one([" " + x for x in rest]))
+            return order + rest, np.concatenate([*parts, flat]), np.concatenate([*sizes, n])
+
+        _LOADED[path] = Memo(lambda strings: packed(strings, one(strings)), 20_000), Memo(after_space)
     return _LOADED[path]
 
 
