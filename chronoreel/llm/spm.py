@@ -11,6 +11,7 @@ pieces that end there, the one whose neighbour on its left it would not have mer
 from __future__ import annotations
 
 import re
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,31 @@ def _fields(b: bytes):
             i += n
 
 
+class Endings:
+    """Which pieces end at a place: states are beginnings of pieces; steps and a state's pieces are filled in as they are met."""
+
+    def __init__(self, pieces):
+        self.pieces = pieces
+        self.starts = {p[:k] for p in pieces for k in range(1, len(p) + 1)} | {""}
+        self.state = {"": 0}
+        self.names, self.steps, self.ends = [""], [{}], [()]
+
+    def step(self, state: int, letter: str) -> int:
+        """The longest end of the path so far that begins a piece; ``ends`` of it are all pieces that end here, longest first."""
+        name = self.names[state] + letter
+        while name not in self.starts:
+            name = name[1:]
+        found = self.state.get(name)
+        if found is None:
+            found = self.state[name] = len(self.names)
+            self.names.append(name)
+            self.steps.append({})
+            self.ends.append(tuple((name[k:], len(name) - k) for k in range(len(name)) if name[k:] in self.pieces))
+        if len(self.steps[state]) < 4_096:  # beyond it, worked out anew
+            self.steps[state][letter] = found
+        return found
+
+
 class Model:
     """Pieces, scores and kind of a model file."""
 
@@ -142,43 +168,51 @@ class Model:
             else:
                 return True
 
+    @cached_property
+    def endings(self) -> Endings:
+        return Endings(self.live if self.merges else self.ids)
+
     # --- the forward pass -------------------------------------------------------------
 
     def encode_words(self, words: list[str]):
         """Ids of each word; words are visited in sorted order and share the states of common prefixes."""
         order = sorted(range(len(words)), key=words.__getitem__)
         out: list = [None] * len(words)
-        known, longest, merges, score = self.ids, self.longest, self.merges, self.score
+        known, merges, score = self.ids, self.merges, self.score
         last: list[str] = [""]  # the last piece of each prefix's encoding
-        best = [0.0]
-        fit, fits, live = self._fit, self.fits, self.live
+        best, path = [0.0], [0]
+        fit, fits = self._fit, self.fits
+        follow, steps, ends = self.endings.step, self.endings.steps, self.endings.ends
         before = ""
         for k in order:
             word = words[k]
             n, most = 0, min(len(word), len(before))
             while n < most and word[n] == before[n]:
                 n += 1
-            del last[n + 1 :], best[n + 1 :]
-            for i in range(n + 1, len(word) + 1):
+            del last[n + 1 :], best[n + 1 :], path[n + 1 :]
+            state = path[n]
+            for i in range(n, len(word)):
+                letter = word[i]
+                to = steps[state].get(letter)
+                state = follow(state, letter) if to is None else to
+                path.append(state)
                 if merges:
-                    found = None
-                    for j in range(max(0, i - longest), i):
-                        piece = word[j:i]
-                        if piece not in live:
-                            continue
-                        if j:
-                            ok = fit.get((last[j], piece))
-                            if not (fits(last[j], piece) if ok is None else ok):
+                    for piece, size in ends[state]:
+                        if size <= i:
+                            left = last[i + 1 - size]
+                            ok = fit.get((left, piece))
+                            if not (fits(left, piece) if ok is None else ok):
                                 continue
-                        found = piece
+                        last.append(piece)
                         break
-                    last.append(found or word[i - 1])
+                    else:
+                        last.append(letter)
                 else:
-                    top, found = best[i - 1] + self.least, word[i - 1]
-                    for j in range(max(0, i - longest), i):
-                        piece = word[j:i]
-                        if piece in known and best[j] + score[piece] > top:
-                            top, found = best[j] + score[piece], piece
+                    top, found = best[i] + self.least, letter
+                    for piece, size in ends[state]:
+                        value = best[i + 1 - size] + score[piece]
+                        if value > top:
+                            top, found = value, piece
                     last.append(found)
                     best.append(top)
             i, pieces = len(word), []
