@@ -147,7 +147,11 @@ def from_bytes(content, table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 #: A space between two other characters always begins a token of the byte-level pattern.
 SPLIT = re.compile(r" (?=\S)(?<=\S )")
-SPACE = re.compile(r"\s")
+#: Texts of these characters are cut into the published pattern's matches here, where ``\w`` classes can't differ between libraries.
+STOPS = frozenset(",.;:!?")
+LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+PLAIN = re.compile(rf"[\t\n -~{LETTER}]+")
+MATCH = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTER}]+| ?[0-9]+| ?[^\s{LETTER}0-9]+|\s+(?!\S)|\s+")
 _LOADED: dict[str, tuple[Memo, Memo]] = {}
 
 
@@ -163,33 +167,38 @@ def load(path: str) -> tuple[Memo, Memo]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True  # in a text their strings are text
         one = lambda strings: [e.ids for e in t.encode_batch_fast(strings, add_special_tokens=False)]
-        size = max(t.get_vocab(with_added_tokens=True).values()) + 1
-        opens = np.zeros(size, bool)  # tokens that begin with a space, as the byte-level alphabet writes it
-        opens[[i for s, i in t.get_vocab(with_added_tokens=False).items() if s.startswith("Ġ")]] = True
+        alphabet = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        plain = filter(PLAIN.fullmatch, map(chr, range(256)))
+        write = {ord(c): alphabet.pre_tokenize_str(c)[0][0] for c in plain}
+        model = t.model
+
+        def match(strings):
+            return packed(strings, [[k.id for k in model.tokenize(x.translate(write))] for x in strings])
+
+        matches = Memo(match)
 
         def after_space(strings):
-            """As one text for many strings, where only their own first tokens begin with a space."""
-            plain, rest = [], []
+            """Strings of plain characters by their matches, each distinct one given to the library's model once; others whole."""
+            own, parts, rest = [], [], []
             for x in strings:
-                (rest if SPACE.search(x) else plain).append(x)
-            order, parts, sizes = [], [], []
-            for a in range(0, len(plain), 20_000):
-                own = plain[a : a + 20_000]
-                ids = np.array(t.encode_batch_fast([" " + " ".join(own)], add_special_tokens=False)[0].ids, np.int32)
-                first = np.flatnonzero(opens[ids])
-                if len(first) == len(own):
-                    order += own
-                    parts.append(ids)
-                    sizes.append(np.diff(first, append=len(ids)))
+                if x.isascii() and x.isalpha():  # the two commonest forms need no pattern
+                    parts.append((" " + x,))
+                elif x[-1] in STOPS and x.isascii() and x[:-1].isalpha():
+                    parts.append((" " + x[:-1], x[-1]))
+                elif PLAIN.fullmatch(x):
+                    parts.append(MATCH.findall(" " + x))
                 else:
-                    rest += own
-            _, flat, n = packed(rest, one([" " + x for x in rest]))
-            return order + rest, np.concatenate([*parts, flat]), np.concatenate([*sizes, n])
+                    rest.append(x)
+                    continue
+                own.append(x)
+            ids, n_own = matches.ids(parts)
+            _, more, n_rest = packed(rest, one([" " + x for x in rest]))
+            return own + rest, np.concatenate([ids, more]), np.concatenate([n_own, n_rest])
 
         _LOADED[path] = Memo(lambda strings: packed(strings, one(strings)), 20_000), Memo(after_space)
     return _LOADED[path]
