@@ -15,14 +15,15 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from chronoreel.llm.ragged import Memo, packed
 
 MARK = "▁"
-CHUNK = 4_000_000
+#: Characters worked on at once, words kept for reuse and pairs of pieces whose fit is kept, in each worker.
+CHUNK, WORDS, PAIRS = 1_000_000, 150_000, 400_000
 
 
 def default_model() -> str:
@@ -147,7 +148,7 @@ class Model:
         """Whether pieces a and b stay apart next to each other: undo merges from the latest, and see whether the edges would have merged earlier."""
         known = self._fit.get((a, b))
         if known is None:
-            if len(self._fit) > 1_000_000:
+            if len(self._fit) > PAIRS:
                 self._fit.clear()
             known = self._fit[a, b] = self._apart(a, b)
         return known
@@ -244,60 +245,59 @@ def load(path: str) -> tuple[Model, Memo]:
     """Once per process."""
     if path not in _LOADED:
         m = Model(path)
-        _LOADED[path] = m, Memo(lambda words: packed(words, m.encode_words(words)))
+        _LOADED[path] = m, Memo(lambda words: packed(words, m.encode_words(words)), WORDS)
     return _LOADED[path]
 
 
-def encode(docs: DataFrame, model: str | None = None, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``ids array<int>`` and ``n_tokens``, replacing columns of these names: the ids of each whole text.
+def _schema(df: DataFrame, *more: str) -> str:
+    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + list(more))
 
-    Null text has null ids and no tokens; empty text has an empty list. ``model`` must be readable on every executor.
-    """
-    path = model or default_model()
-    plain = docs.drop("ids", "n_tokens")
-    names = plain.columns
 
-    def run(batches):
-        own, memo = load(path)
-        for b in batches:
-            texts = b.column(names.index(text_col)).to_pylist()
-            parts, counts, i = [], [], 0
-            while i < len(texts):
-                j, size = i, 0
-                while j < len(texts) and (j == i or size + len(texts[j] or "") <= CHUNK):
-                    size += len(texts[j] or "")
-                    j += 1
-                flat, n = memo.ids([own.words(t) if t else [] for t in texts[i:j]])
-                parts.append(flat)
-                counts.append(n)
-                i = j
-            flat, n = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (parts, counts))
+def _encoded(batches, path: str, text_col: str):
+    """Batches with ``ids`` and ``n_tokens``, cut into pieces of bounded text."""
+    own, memo = load(path)
+    for b in batches:
+        column = b.column(b.schema.get_field_index(text_col))
+        size = pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False)
+        i = 0
+        while i < len(column):
+            j = i + max(1, int(np.searchsorted(np.cumsum(size[i:]), CHUNK, side="right")))
+            texts = column.slice(i, j - i).to_pylist()
+            flat, n = memo.ids([own.words(t) if t else [] for t in texts])
             null = np.array([t is None for t in texts], bool)
             upto = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
-            at = pa.array(upto, mask=np.append(null, False))
-            ids = pa.ListArray.from_arrays(at, pa.array(flat.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*b.columns, ids, pa.array(n.astype(np.int64))], [*names, "ids", "n_tokens"])
+            ids = pa.ListArray.from_arrays(pa.array(upto, mask=np.append(null, False)), pa.array(flat.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*b.slice(i, j - i).columns, ids, pa.array(n.astype(np.int64))], [*b.schema.names, "ids", "n_tokens"])
+            i = j
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields]
-    return plain.mapInArrow(run, ", ".join([*fields, "ids array<int>", "n_tokens long"]))
+
+def _decoded(batches, path: str, ids_col: str, into: str):
+    own, _ = load(path)
+    for b in batches:
+        texts = [None if x is None else own.decode(x) for x in b.column(b.schema.get_field_index(ids_col)).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, into])
+
+
+def encode(docs: DataFrame, model: str | None = None, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``ids array<int>`` and ``n_tokens``, replacing columns of these names: the ids of each whole text.
+
+    Null text has null ids and no tokens; empty text has an empty list. ``model`` must be readable on every executor.
+    """
+    path, plain = model or default_model(), docs.drop("ids", "n_tokens")
+    return plain.mapInArrow(lambda batches: _encoded(batches, path, text_col), _schema(plain, "ids array<int>", "n_tokens long"))
 
 
 def decode(rows: DataFrame, model: str | None = None, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
     """``rows`` with the text of each list of ids in ``into``. Null ids give null; an id outside the model fails."""
-    path = model or default_model()
-    plain = rows.drop(into)
-    names = plain.columns
+    path, plain = model or default_model(), rows.drop(into)
+    return plain.mapInArrow(lambda batches: _decoded(batches, path, ids_col, into), _schema(plain, f"`{into}` string"))
 
-    def run(batches):
-        own, _ = load(path)
-        for b in batches:
-            texts = [None if x is None else own.decode(x) for x in b.column(names.index(ids_col)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*names, into])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields]
-    return plain.mapInArrow(run, ", ".join([*fields, f"`{into}` string"]))
+def round_trip(docs: DataFrame, model: str | None = None, text_col: str = "text") -> DataFrame:
+    """Encoded and decoded again, in one worker: adds ``ids, n_tokens, decoded``, replacing columns of these names."""
+    path, plain = model or default_model(), docs.drop("ids", "n_tokens", "decoded")
 
+    def run(batches):
+        return _decoded(_encoded(batches, path, text_col), path, "ids", "decoded")
 
-def round_trip(docs: DataFrame, model: str | None = None, text_col: str = "text") -> DataFrame:
-    """Encoded and decoded again: adds ``ids, n_tokens, decoded``."""
-    return decode(encode(docs, model, text_col), model).withColumn("n_tokens", F.col("n_tokens").cast("long"))
+    return plain.mapInArrow(run, _schema(plain, "ids array<int>", "n_tokens long", "decoded string"))
