@@ -26,7 +26,9 @@ from chronoreel.llm.ragged import Memo, packed
 
 MAGIC, LIMIT, BLOCK = b"HTI1", 16, 2_048
 #: Ids wanted in a segment, and characters of text tokenised at once.
-SEGMENT_IDS, CHUNK = 4_000_000, 3_000_000
+SEGMENT_IDS, CHUNK = 4_000_000, 1_000_000
+#: Parts, and matches of the pattern, that a worker keeps for reuse.
+WORDS = 150_000
 HEAD = struct.Struct("<4sIQQQ")  # magic, block, documents, ids, bits
 
 
@@ -180,7 +182,7 @@ def load(path: str) -> tuple[Memo, Memo]:
         def match(strings):
             return packed(strings, [[k.id for k in model.tokenize(x.translate(write))] for x in strings])
 
-        matches = Memo(match)
+        matches = Memo(match, WORDS)
 
         def after_space(strings):
             """Strings of plain characters by their matches, each distinct one given to the library's model once; others whole."""
@@ -200,7 +202,7 @@ def load(path: str) -> tuple[Memo, Memo]:
             _, more, n_rest = packed(rest, one([" " + x for x in rest]))
             return own + rest, np.concatenate([ids, more]), np.concatenate([n_own, n_rest])
 
-        _LOADED[path] = Memo(lambda strings: packed(strings, one(strings)), 20_000), Memo(after_space)
+        _LOADED[path] = Memo(lambda strings: packed(strings, one(strings)), 20_000), Memo(after_space, WORDS)
     return _LOADED[path]
 
 
