@@ -20,55 +20,68 @@ def pick(flat: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
     return flat[np.arange(upto[-1] if len(upto) else 0) + np.repeat(begin - (upto - n), n)]
 
 
+class _Codes(dict):
+    """Numbers strings as they are met; ``fresh`` are those without ids yet."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, string: str) -> int:
+        n = self[string] = len(self)
+        self.fresh.append(string)
+        return n
+
+
 class Memo:
     """From a string to its ids.
 
     ``encode`` takes new strings and returns them in an order of its own with all their ids
-    and how many each has. Beyond ``most`` strings a new generation begins, which takes over
-    what is still used from the one before; memory stays bounded, results don't depend on it.
+    and how many each has. Beyond ``most`` strings a new generation begins with the next
+    texts, which takes over what is still used from the one before; memory stays bounded by
+    ``most`` and the texts given at once, and results don't depend on it.
     """
 
     def __init__(self, encode: Callable[[list[str]], tuple[list[str], np.ndarray, np.ndarray]], most: int = 250_000):
         self.encode, self.most = encode, most
         self._begin()
-        self.old = (self.code, self.flat, self.begin)
+        self.old = ({}, self.flat, self.begin, self.n)
 
     def _begin(self):
-        self.code: dict[str, int] = {}
-        self.flat, self.begin, self.used = np.zeros(1 << 16, np.int32), np.zeros(1, np.int64), 0
+        self.code = _Codes()
+        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+        self.begin, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def learn(self, strings: set[str]) -> None:
-        new = list(strings - self.code.keys())
-        if len(self.code) + len(new) > self.most:
-            self.old = (self.code, self.flat, self.begin)
-            self._begin()
-            new = list(strings)
-        if not new:
+    def _learn(self) -> None:
+        fresh, self.code.fresh = self.code.fresh, []
+        if not fresh:
             return
-        code, flat, begin = self.old
-        kept = [s for s in new if s in code]
+        more = np.zeros(len(fresh), np.int64)
+        self.begin, self.n = np.concatenate([self.begin, more]), np.concatenate([self.n, more])
+        code, flat, begin, n = self.old
+        kept = [s for s in fresh if s in code]
         if kept:
             at = np.fromiter(map(code.__getitem__, kept), np.int64, len(kept))
-            n = begin[at + 1] - begin[at]
-            self._add(kept, pick(flat, begin[at], n), n)
-            new = [s for s in new if s not in code]
-        if new:
-            self._add(*self.encode(new))
+            self._add(kept, pick(flat, begin[at], n[at]), n[at])
+            fresh = [s for s in fresh if s not in code]
+        if fresh:
+            self._add(*self.encode(fresh))
 
     def _add(self, strings: list[str], more: np.ndarray, n: np.ndarray) -> None:
         if self.used + len(more) > len(self.flat):
             self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(len(more), len(self.flat)), np.int32)])
         self.flat[self.used : self.used + len(more)] = more
-        self.begin = np.concatenate([self.begin, self.used + np.cumsum(n)])
+        at = np.fromiter(map(self.code.__getitem__, strings), np.int64, len(strings))
+        self.begin[at], self.n[at] = self.used + np.cumsum(n) - n, n
         self.used += len(more)
-        first = len(self.code)
-        self.code.update(zip(strings, range(first, first + len(strings)), strict=True))
 
     def ids(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, given as lists of strings, one after another; and how many each text has."""
-        self.learn(set(chain.from_iterable(texts)))
+        if len(self.code) > self.most:
+            self.old = (self.code, self.flat, self.begin, self.n)
+            self._begin()
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         code = np.fromiter(map(self.code.__getitem__, chain.from_iterable(texts)), np.int64, int(sizes.sum()))
-        n = self.begin[code + 1] - self.begin[code]
+        self._learn()
+        n = self.n[code]
         total = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(sizes)))]
         return pick(self.flat, self.begin[code], n), np.diff(total)

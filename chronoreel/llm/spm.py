@@ -23,7 +23,7 @@ from chronoreel.llm.ragged import Memo, packed
 
 MARK = "▁"
 #: Characters worked on at once, words kept for reuse and pairs of pieces whose fit is kept, in each worker.
-CHUNK, WORDS, PAIRS = 1_000_000, 150_000, 400_000
+CHUNK, WORDS, PAIRS = 500_000, 100_000, 200_000
 
 
 def default_model() -> str:
@@ -101,6 +101,11 @@ class Model:
         self.least = min(self.score.values(), default=0.0) - 10
         # words can be cut at marks if no piece goes on past a letter into a mark
         self.cut = not any(MARK in p.lstrip(MARK) for p in self.ids)
+        # and words between letters and others if no piece holds both
+        odd = "".join(sorted({c for p in self.ids for c in p if c.isalnum() and not c.isalpha() and not c.isdecimal()}))
+        letter, other = rf"[^\W\d_{odd}]", rf"(?:(?!{MARK})[\W\d_{odd}])"
+        apart = all(re.fullmatch(f"{letter}*|{other}*", p.lstrip(MARK)) for p in self.ids)
+        self.pattern = re.compile(f"{MARK}*{letter}+|{MARK}*{other}+|{MARK}+") if apart else _WORD
         order = sorted((p for p in self.ids if len(p) > 1), key=lambda p: (-self.score[p], self.ids[p]))
         self.rank = {p: 0 for p in self.ids if len(p) == 1} | {p: i + 1 for i, p in enumerate(order)}
         self._parts: dict[str, tuple[str, str] | None] = {}
@@ -120,7 +125,15 @@ class Model:
     def words(self, text: str) -> list[str]:
         """The normalised text, cut before each run of marks."""
         line = self.lib.normalize(text) if text else ""
-        return (_WORD.findall(line) if self.cut else [line]) if line else []
+        if not line or not self.cut:
+            return [line] if line else []
+        if line[0] == MARK and MARK + MARK not in line:
+            return [MARK + x for x in line.split(MARK)[1:]]
+        return _WORD.findall(line)
+
+    def runs(self, word: str) -> list[str]:
+        """A word cut further where no piece reaches across, at the edges of runs of letters."""
+        return self.pattern.findall(word) if self.cut else [word]
 
     # --- byte pairs -------------------------------------------------------------------
 
@@ -245,7 +258,8 @@ def load(path: str) -> tuple[Model, Memo]:
     """Once per process."""
     if path not in _LOADED:
         m = Model(path)
-        _LOADED[path] = m, Memo(lambda words: packed(words, m.encode_words(words)), WORDS)
+        runs = Memo(lambda new: packed(new, m.encode_words(new)), WORDS)
+        _LOADED[path] = m, Memo(lambda words: (words, *runs.ids([m.runs(x) for x in words])), WORDS)
     return _LOADED[path]
 
 
