@@ -18,7 +18,7 @@ from chronoreel.llm.common import as_bytes
 SIZES, BUCKET_BITS = (2, 3, 4), 15
 #: Labelled texts taken of each language, at most, and width of an embedding.
 PER_LANGUAGE, WIDTH = 1_500, 12
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 
 _CLEAN = np.full(256, 32, np.uint8)
 _CLEAN[0x61:0x7B] = np.arange(0x61, 0x7B)
