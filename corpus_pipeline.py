@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoreel.llm import langid, mixing, simhash, spm, substring
+from chronoreel.llm import langid, mixing, shingles, spm, substring
 from chronoreel.llm.common import cut
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -18,9 +18,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest id; shingles of five words."""
-    groups = simhash.near_duplicates(docs, shingle=5, radius=4)
-    kept = cut(groups.where("doc_id = component_id").select("doc_id").distinct(), "kept")
+    """One document of each group of a shingle similarity of 0.8 stays, the one with the smallest id; shingles of five words."""
+    groups = cut(shingles.near_duplicates(docs.select("doc_id", "text")).select("doc_id", "component"), "groups")
+    kept = cut(groups.groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "kept")
     named = docs.select(*COLUMNS).where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
     # rows that share an id are one document; rows without one can't be told apart and stay
     one = named.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("r")).select("doc_id", "r.*")
