@@ -18,13 +18,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of a shingle similarity of 0.8 stays, the one with the smallest id; shingles of five words."""
-    groups = cut(shingles.near_duplicates(docs.select("doc_id", "text")).select("doc_id", "component"), "groups")
-    kept = cut(groups.groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "kept")
-    named = docs.select(*COLUMNS).where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
-    # rows that share an id are one document; rows without one can't be told apart and stay
-    one = named.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("r")).select("doc_id", "r.*")
-    return one.unionByName(docs.select(*COLUMNS).where("doc_id IS NULL"))
+    """One row of each group of a shingle similarity of 0.8 stays, the one with the smallest id, null the last; shingles of five words.
+
+    Rows that share an id are rows of their own.
+    """
+    groups = shingles.near_duplicates(docs.select(*COLUMNS))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), *COLUMNS)).alias("r")
+    return groups.groupBy("component").agg(least).select(*[f"r.{c}" for c in COLUMNS])
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

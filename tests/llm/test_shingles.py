@@ -51,6 +51,14 @@ def test_stage_on_a_table(spark):
     assert sorted(r.doc_id for r in got) == sorted(set(groups(docs).values()))
 
 
+def test_rows_of_repeated_and_null_ids(spark):
+    text = {c: " ".join(f"{c}{i}" for i in range(30)) for c in "abcd"}
+    rows = [(1, "b"), (1, "a"), (2, "a"), (2, "c"), (None, "c"), (None, "d"), (None, "d")]
+    df = spark.createDataFrame([(i, text[c], "en", "s", 1) for i, c in rows], DOC_SCHEMA)
+    got = [(r.doc_id, r.text[0]) for r in cp.simhash_near_dedup(spark, df, "").collect()]
+    assert sorted(got, key=lambda r: r[1]) == [(1, "a"), (1, "b"), (2, "c"), (None, "d")]
+
+
 def test_sets_and_other_similarities(spark):
     texts = [b"", b"  ", b"a b", b"A  b", b"a b c d e f", b"a b c d e a b c d e"]
     h, n = shingles.shingle_sets(texts)
