@@ -1,13 +1,16 @@
 """Scoring texts under an n-gram model held in Elias-Fano tries.
 
-Counts are combined by task before they travel, as packed arrays. Bigrams go to shards by
-their context; a context with a large part of all tokens is spread over all shards by the
-word that follows. A shard builds one trie: contexts, and below each its successors as
-numbers relative to it, in one monotone sequence that a search answers by the next value not
-below. What a task asked for comes back in the order asked, a code for each n-gram.
+Counts are combined by task before they travel, as packed arrays. Trigrams, the word after an
+end being a pad, go to shards by their first word; one with a large part of all tokens is
+spread over all shards by the second. So a shard has all trigrams of its bigrams, whose
+counts are sums of theirs. It builds one trie: contexts, below each its successors, and below
+each of these its own, as numbers relative to the level above, in one monotone sequence a
+level that a search answers by the next value not below. What a task asked for comes back in
+the order asked, a few codes for each trigram.
 
 P(w|u) = c(u,w) / (c(u) + M)  +  M / (c(u) + M) * P(w),  P(w) = (c(w) + .5) / (N + .5 (V + 1)).
-The first term is what the trie holds, quantised.
+P(w|t,u) = c(t,u,w) / (c(t,u) + M)  +  M / (c(t,u) + M) * P(w|u); a first word has P(w|u) alone.
+The first terms are what the trie holds, quantised, and the weight before P(w|u).
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ RUN_TOKENS, SHARD_NGRAMS = 1_500_000, 600_000
 #: Weight of the lower order in tokens, and the share of all tokens from which a context is spread.
 PRIOR, HOT_SHARE = 30.0, 1 / 2_000
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+#: What follows an end.
+PAD = np.uint64(0x2545F4914F6CDD1D)
 #: Steps of log10 that a quantised probability is told in; code 0 is none.
 STEP = 8 / 254
 
@@ -133,36 +138,64 @@ LEVELS = np.concatenate(([0.0], 10.0 ** (-STEP * np.arange(255))))
 
 
 class Trie:
-    """Contexts, pointers to their successors, the successors, and a quantised probability each."""
+    """Contexts, pointers to their successors, the successors, and a quantised probability each; and the same once more below each successor."""
 
-    PARTS = ("contexts", "words", "pointers", "successors")
+    PARTS = ("contexts", "words", "pointers", "successors", "words3", "pointers3", "successors3")
+    CODES = ("codes", "weights", "codes3")
 
-    def __init__(self, parts: dict[str, EliasFano], codes: np.ndarray):
+    def __init__(self, parts: dict[str, EliasFano], codes: dict[str, np.ndarray]):
         self.parts, self.codes = parts, codes
 
-    @classmethod
-    def of(cls, context: np.ndarray, word: np.ndarray, p: np.ndarray) -> Trie:
-        """From distinct pairs in order of (context, word), both 64-bit hashes."""
-        contexts, first = np.unique(context, return_index=True)
+    @staticmethod
+    def _level(first: np.ndarray, word: np.ndarray) -> tuple[EliasFano, EliasFano, EliasFano]:
+        """Distinct words, pointers to each parent's first entry, and the entries relative to their parents."""
         words, number = np.unique(word, return_inverse=True)
-        parent = np.repeat(np.arange(len(contexts)), np.diff(first, append=len(context)))
+        parent = np.repeat(np.arange(len(first)), np.diff(first, append=len(word)))
         line = parent.astype(np.uint64) * np.uint64(max(1, len(words))) + number.astype(np.uint64)
-        of = EliasFano.of
-        return cls({"contexts": of(contexts), "words": of(words), "pointers": of(np.append(first, len(context))), "successors": of(line)}, quantise(p))
+        return EliasFano.of(words), EliasFano.of(np.append(first, len(word))), EliasFano.of(line)
 
-    def lookup(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Code of each pair, 0 if the trie has none: the context's place, then its successor relative to it."""
-        c, w = self.parts["contexts"].find(context), self.parts["words"].find(word)
-        out = np.zeros(len(c), np.uint8)
-        some = np.flatnonzero((c >= 0) & (w >= 0))
+    @classmethod
+    def of(cls, context: np.ndarray, word: np.ndarray, p: np.ndarray, weight: np.ndarray | None = None, third: tuple | None = None) -> Trie:
+        """From distinct pairs in order of (context, word), both 64-bit hashes.
+
+        ``weight`` is each pair's of the lower order, ``third`` the next level: each pair's first
+        entry, and the entries' words, in order below their pair, and probabilities.
+        """
+        contexts, first = np.unique(context, return_index=True)
+        none = np.zeros(0, np.uint64)
+        start, word3, p3 = third or (np.zeros(len(context), np.int64), none, none)
+        parts = (EliasFano.of(contexts), *cls._level(first, word), *cls._level(start, word3))
+        return cls(dict(zip(cls.PARTS, parts, strict=True)), {"codes": quantise(p), "weights": quantise(np.ones(len(p)) if weight is None else weight), "codes3": quantise(p3)})
+
+    def _below(self, parent: np.ndarray, word: np.ndarray, level: str) -> np.ndarray:
+        """Place of each word below its parent's place, -1 where either is missing: found relative to it, within its pointers."""
+        words, pointers, successors = (self.parts[x + level] for x in ("words", "pointers", "successors"))
+        w, out = words.find(word), np.full(len(word), -1)
+        some = np.flatnonzero((parent >= 0) & (w >= 0))
         if len(some):
-            n = np.uint64(max(1, self.parts["words"].n))
-            at = self.parts["successors"].find(c[some].astype(np.uint64) * n + w[some].astype(np.uint64))
-            lo, hi = self.parts["pointers"].get(c[some]), self.parts["pointers"].get(c[some] + 1)
+            c = parent[some]
+            at = successors.find(c.astype(np.uint64) * np.uint64(max(1, words.n)) + w[some].astype(np.uint64))
+            lo, hi = pointers.get(c), pointers.get(c + 1)
             good = (at >= 0) & (at >= lo.astype(np.int64)) & (at < hi.astype(np.int64))
-            out[some[good]] = self.codes[at[good]]
+            out[some[good]] = at[good]
         return out
 
+    def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Place of each pair, -1 if the trie has none."""
+        return self._below(self.parts["contexts"].find(context), word, "")
+
+    def find3(self, pair: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Place of each word below the pairs at these places, -1 if the trie has none."""
+        return self._below(pair, word, "3")
+
+    def code(self, kind: str, at: np.ndarray, other: int = 0) -> np.ndarray:
+        codes = self.codes[kind]
+        return np.where(at >= 0, codes[np.maximum(at, 0)], other).astype(np.uint8) if len(codes) else np.full(len(at), other, np.uint8)
+
+    def lookup(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Code of each pair, 0 if the trie has none."""
+        return self.code("codes", self.find(context, word))
+
     def save(self, f) -> list:
         """All levels one after another into an open file; what to read where."""
         index = []
@@ -173,8 +206,9 @@ class Trie:
                 f.write(b"\0" * (-f.tell() % 8))
                 index.append((name, ef.n, ef.bits, field, a.dtype.str, len(a), f.tell()))
                 f.write(a.tobytes())
-        index.append(("codes", 0, 0, "codes", "|u1", len(self.codes), f.tell()))
-        f.write(self.codes.tobytes())
+        for name in self.CODES:
+            index.append((name, 0, 0, "codes", "|u1", len(self.codes[name]), f.tell()))
+            f.write(self.codes[name].tobytes())
         f.flush()
         return index
 
@@ -185,7 +219,7 @@ class Trie:
         for name, n, bits, field, kind, size, at in index:
             a = np.memmap(f, np.dtype(kind), "r", at, (size,)) if size else np.zeros(0, kind)
             found.setdefault(name, {"n": n, "bits": bits})[field] = np.asarray(a)
-        codes = found.pop("codes")["codes"]
+        codes = {name: found.pop(name)["codes"] for name in cls.CODES}
         return cls({k: EliasFano(**v) for k, v in found.items()}, codes)
 
     def mapped(self) -> Trie:
@@ -198,7 +232,7 @@ class Trie:
 
 
 class Run:
-    """The tokens of some documents: distinct words and bigrams in the order of their shards, and each token's place in both."""
+    """The tokens of some documents: distinct words and trigrams in the order of their shards, and each token's place in the words and, as the middle, in the trigrams."""
 
     def __init__(self, texts: list[bytes], train: np.ndarray, buckets: int, hot: np.ndarray | None):
         buf, start, end, n = split_words(texts, lower=True)
@@ -220,14 +254,18 @@ class Run:
         came = np.concatenate(([len(unique)], inverse[:-1]))
         came[stop[:-1] + 1] = len(unique)
         pair, inverse2 = np.unique(came * np.int64(len(unique) + 1) + inverse, return_inverse=True)
-        u, w = np.divmod(pair, len(unique) + 1)
-        context, word = np.append(unique, BEGIN)[u], unique[w]
-        seen = np.bincount(inverse2, counts, len(pair)).astype(np.int64)
+        then = np.append(inverse[1:], len(unique))
+        then[stop] = len(unique)
+        triple, inverse3 = np.unique(inverse2 * np.int64(len(unique) + 1) + then, return_inverse=True)
+        of, x = np.divmod(triple, len(unique) + 1)
+        u, w = np.divmod(pair[of], len(unique) + 1)
+        context, word, after = np.append(unique, BEGIN)[u], unique[w], np.append(unique, PAD)[x]
+        seen = np.bincount(inverse3, counts, len(triple)).astype(np.int64)
         key = mix64(context, 3)
         spread = np.isin(context, hot)
         key[spread] = mix64(context[spread] ^ mix64(word[spread], 4), 3)
-        (self.contexts, self.after), self.n_pairs, self.pair_bucket, place = self._dealt(buckets, key, (context, word), seen)
-        self.pair_at = place[inverse2]
+        (self.contexts, self.middle, self.after), self.n_triples, self.triple_bucket, place = self._dealt(buckets, key, (context, word, after), seen)
+        self.triple_at = place[inverse3]
 
     @staticmethod
     def _dealt(buckets, key, rows, counts):
@@ -290,12 +328,12 @@ def _table(columns: list, schema: str) -> pa.RecordBatch:
 
 
 def score(docs: DataFrame, trained: str = "crc32(string(doc_id)) % 5 <> 1", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for each row.
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, score3`` for each row.
 
     The model learns from rows for which ``trained``, SQL over ``doc_id``, holds; rows with a
     null id are neither learned from nor held out. Tokens are the words of the text with A-Z in lower
     case, then one end. ``base_score`` is under single tokens alone, ``score`` under the bigram
-    model, both log10. Null text is empty. Equal ids are rows of their own. An empty table gives an empty table.
+    model, ``score3`` under the trigram model, all log10. Null text is empty. Equal ids are rows of their own. An empty table gives an empty table.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("train", F.coalesce(F.expr(trained), F.lit(False)))
@@ -333,50 +371,70 @@ def score(docs: DataFrame, trained: str = "crc32(string(doc_id)) % 5 <> 1", id_c
     hot_words = np.array(sorted(often), np.uint64)
     hot_counts = np.array([often[int(h)] for h in hot_words], np.int64)
     asked = of_words.where("kind = 1").agg(F.sum("n")).first()[0] or 0
-    shards = max(buckets, -(-asked * 5 // SHARD_NGRAMS))
+    shards = max(buckets, -(-asked * 10 // SHARD_NGRAMS))
 
-    def send_pairs(batches):
+    def send_triples(batches):
         for run, _, _, r in _runs(batches, shards, hot_words):
             out = [[], [], [], [], []]
-            for a, b in _slices(r.pair_bucket):
-                context, new = r.contexts[a:b], np.flatnonzero(np.diff(r.contexts[a:b], prepend=~r.contexts[a : a + 1]))
-                blob = _squeeze(np.array([len(new)], "<u8"), context[new], np.diff(new, append=b - a).astype("<u4"), r.n_pairs[a:b].astype("<u4"), r.after[a:b])
-                for column, value in zip(out, (int(r.pair_bucket[a]), run, r.check, b - a, blob), strict=True):
+            for a, b in _slices(r.triple_bucket):
+                context, middle = r.contexts[a:b], r.middle[a:b]
+                fresh = np.diff(context, prepend=~context[:1]) != 0
+                new = np.flatnonzero(fresh | (np.diff(middle, prepend=~middle[:1]) != 0))
+                top = np.flatnonzero(fresh[new])
+                head = np.array([len(top), len(new)], "<u8")
+                blob = _squeeze(head, context[new[top]], middle[new], r.after[a:b], np.diff(top, append=len(new)).astype("<u4"), np.diff(new, append=b - a).astype("<u4"), r.n_triples[a:b].astype("<u4"))
+                for column, value in zip(out, (int(r.triple_bucket[a]), run, r.check, b - a, blob), strict=True):
                     column.append(value)
             yield _table(out, SENT)
 
     def build_and_ask(key, t):
         sizes = t.column("n").to_numpy()
-        at = np.concatenate(([0], np.cumsum(sizes)))
-        context, word, n = (np.empty(sizes.sum(), k) for k in (np.uint64, np.uint64, np.int64))
+        asks = []  # by run: contexts and middles of its bigrams, trigrams of each, last words
+        seen = []
         for i, x in enumerate(t.column("rows")):
-            raw, size, a, b = _open(x.as_buffer()), int(sizes[i]), at[i], at[i + 1]
-            k = int(np.frombuffer(raw, "<u8", 1)[0])
-            context[a:b] = np.repeat(np.frombuffer(raw, "<u8", k, 8), np.frombuffer(raw, "<u4", k, 8 + 8 * k))
-            n[a:b] = np.frombuffer(raw, "<u4", size, 8 + 12 * k)
-            word[a:b] = np.frombuffer(raw, "<u8", size, 8 + 12 * k + 4 * size)
-        some = np.flatnonzero(n)
-        some = some[np.lexsort((word[some], context[some]))]
-        u, w, c = context[some], word[some], n[some]
-        new = np.flatnonzero(np.concatenate((np.ones(min(1, len(u)), bool), (u[1:] != u[:-1]) | (w[1:] != w[:-1]))))
-        u, w, c = u[new], w[new], np.add.reduceat(c, new) if len(new) else c
-        first, parent = np.unique(u, return_inverse=True)
-        total = np.bincount(parent, c, len(first))
+            raw, size = _open(x.as_buffer()), int(sizes[i])
+            k, m = np.frombuffer(raw, "<u8", 2).astype(np.int64).tolist()
+            top, middle, after = (np.frombuffer(raw, "<u8", c, 16 + 8 * at) for c, at in ((k, 0), (m, k), (size, k + m)))
+            at = 16 + 8 * (k + m + size)
+            per_top, per_pair, n = (np.frombuffer(raw, "<u4", c, at + 4 * skip) for c, skip in ((k, 0), (m, k), (size, k + m)))
+            context = np.repeat(top, per_top)
+            asks.append((context, middle, per_pair, after))
+            some = np.flatnonzero(n)
+            of = np.repeat(np.arange(m), per_pair)[some]
+            seen.append((context[of], middle[of], after[some], n[some].astype(np.int64)))
+        u, v, w, c = (np.concatenate([s[j] for s in seen]) for j in range(4))
+        del seen
+        order = np.lexsort((w, v, u))
+        u, v, w, c = u[order], v[order], w[order], c[order]
+        changed = lambda *of: np.concatenate((np.ones(min(1, len(u)), bool), np.logical_or.reduce([x[1:] != x[:-1] for x in of])))
+        new = np.flatnonzero(changed(u, v, w))
+        pair = changed(u, v)[new]
+        u, v, w, c = u[new], v[new], w[new], np.add.reduceat(c, new) if len(new) else c
+        first = np.flatnonzero(pair)
+        parent = np.cumsum(pair) - 1
+        both = np.bincount(parent, c, len(first))
+        contexts, of = np.unique(u[first], return_inverse=True)
+        total = np.bincount(of, both, len(contexts))
         if len(hot_words):
-            i = np.minimum(np.searchsorted(hot_words, first), len(hot_words) - 1)
-            total = np.where(hot_words[i] == first, hot_counts[i], total)
-        trie = Trie.of(u, w, c / (total[parent] + PRIOR)).mapped()
-        codes = [trie.lookup(context[a:b], word[a:b]) for a, b in zip(at, at[1:], strict=False)]
+            i = np.minimum(np.searchsorted(hot_words, contexts), len(hot_words) - 1)
+            total = np.where(hot_words[i] == contexts, hot_counts[i], total)
+        third = (first, w, c / (both[parent] + PRIOR))
+        trie = Trie.of(u[first], v[first], both / (total[of] + PRIOR), PRIOR / (both + PRIOR), third).mapped()
+        codes = []
+        for context, middle, per_pair, after in asks:
+            at = trie.find(context, middle)
+            at3 = trie.find3(np.repeat(at, per_pair), after)
+            codes.append(_squeeze(trie.code("codes3", at3), np.repeat(trie.code("codes", at), per_pair), np.repeat(trie.code("weights", at, 1), per_pair)))
         k = len(sizes)
-        return pa.Table.from_batches([_table([t.column("run").to_pylist(), [2] * k, [key[0].as_py()] * k, t.column("sum").to_pylist(), sizes.tolist(), [_squeeze(x) for x in codes]], ANSWER)])
+        return pa.Table.from_batches([_table([t.column("run").to_pylist(), [2] * k, [key[0].as_py()] * k, t.column("sum").to_pylist(), sizes.tolist(), codes], ANSWER)])
 
-    of_pairs = cut(rows.mapInArrow(send_pairs, SENT).groupBy("bucket").applyInArrow(build_and_ask, ANSWER), "bigrams")
+    of_triples = cut(rows.mapInArrow(send_triples, SENT).groupBy("bucket").applyInArrow(build_and_ask, ANSWER), "trigrams")
     collect_garbage(spark)
 
     def send_streams(batches):
         for (run, ids, train, r), (_, _, _, w) in _both(batches, buckets, shards, hot_words):
             null = np.array([i is None for i in ids])
-            body = _squeeze(np.array([0 if i is None else i for i in ids], "<i8"), null, np.array(train, bool), r.sizes.astype("<u4"), w.word_at.astype("<u4"), r.pair_at.astype("<u4"))
+            body = _squeeze(np.array([0 if i is None else i for i in ids], "<i8"), null, np.array(train, bool), r.sizes.astype("<u4"), w.word_at.astype("<u4"), r.triple_at.astype("<u4"))
             yield _table([[run], [0], [0], [r.check], [len(ids)], [body]], ANSWER)
 
     base = np.log10(tokens + 0.5 * (distinct + 1))
@@ -394,27 +452,30 @@ def score(docs: DataFrame, trained: str = "crc32(string(doc_id)) % 5 <> 1", id_c
             elif kind[i] == 1:
                 counts.append(np.frombuffer(x, f"<u{len(x) // n}").astype(np.int64))
             else:
-                codes.append(np.frombuffer(x, np.uint8))
+                codes.append(np.frombuffer(x, np.uint8).reshape(3, n))
         ids, null, train = np.frombuffer(raw, "<i8", k), np.frombuffer(raw, bool, k, 8 * k), np.frombuffer(raw, bool, k, 9 * k)
         sizes = np.frombuffer(raw, "<u4", k, 10 * k).astype(np.int64)
         m = int(sizes.sum())
         c = np.concatenate(counts)[np.frombuffer(raw, "<u4", m, 14 * k)]
-        p = LEVELS[np.concatenate(codes)[np.frombuffer(raw, "<u4", m, 14 * k + 4 * m)]]
+        p3, p, weight = LEVELS[np.concatenate(codes, axis=1)[:, np.frombuffer(raw, "<u4", m, 14 * k + 4 * m)]]
         begin = np.cumsum(sizes) - sizes
         single = np.log10(c + 0.5) - base
         before = np.concatenate(([0], c[:-1]))
         before[begin] = often[int(BEGIN)]
         both = np.log10(p + PRIOR / (before + PRIOR) * 10.0**single)
+        three = both.copy()
+        three[1:] = np.log10(p3[:-1] + weight[:-1] * 10.0 ** both[1:])
+        three[begin] = both[begin]
         add = lambda x: np.add.reduceat(x, begin)
-        out = [pa.array(ids, mask=null), ~train & ~null, sizes, add((c > 0).astype(np.int64)), np.full(k, tokens, np.int64), add(single), add(both)]
-        return pa.Table.from_arrays([pa.array(x) for x in out], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        out = [pa.array(ids, mask=null), ~train & ~null, sizes, add((c > 0).astype(np.int64)), np.full(k, tokens, np.int64), add(single), add(both), add(three)]
+        return pa.Table.from_arrays([pa.array(x) for x in out], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "score3"])
 
-    everything = rows.mapInArrow(send_streams, ANSWER).union(of_words.where("kind = 1")).union(of_pairs)
-    result = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    everything = rows.mapInArrow(send_streams, ANSWER).union(of_words.where("kind = 1")).union(of_triples)
+    result = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, score3 double"
     return everything.groupBy("run").applyInArrow(finish, result)
 
 
 def _both(batches, buckets: int, shards: int, hot: np.ndarray):
-    """Each run with its places among bigrams and among words; both read the same documents in step."""
+    """Each run with its places among trigrams and among words; both read the same documents in step."""
     one, two = itertools.tee(batches)
     return zip(_runs(one, shards, hot), _runs(two, buckets, None), strict=True)

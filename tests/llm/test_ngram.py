@@ -68,3 +68,36 @@ def test_trie_on_a_mapped_file():
     ask = rng.integers(0, 70, (2000, 2)).astype(np.uint64)
     assert trie.lookup(ask[:, 0], ask[:, 1]).tolist() == [int(known.get(tuple(x), 0)) for x in ask.tolist()]
     assert np.abs(np.log10(ngram.LEVELS[ngram.quantise(p)]) - np.log10(p)).max() <= ngram.STEP / 2 + 1e-9
+
+
+def brute3(rows):
+    """Scores under trigrams, with exact counts."""
+    split = [(d, ["<", *(t or "").encode().lower().split(), None]) for d, t in rows]
+    train = [w for d, w in split if d is not None and zlib.crc32(str(d).encode()) % 5 != 1]
+    one = Counter(x for w in train for x in w[1:])
+    one["<"] = one[None]
+    two = Counter(p for w in train for p in zip(w, w[1:], strict=False))
+    three = Counter(p for w in train for p in zip(w, w[1:], w[2:], strict=False))
+    n, v, m = one.total() - one["<"], len(one) - 1, ngram.PRIOR
+    p1 = lambda x: (one[x] + 0.5) / (n + 0.5 * (v + 1))
+    p2 = lambda u, x: (two[u, x] + m * p1(x)) / (one[u] + m)
+    p3 = lambda t, u, x: (three[t, u, x] + m * p2(u, x)) / (two[t, u] + m)
+    for d, w in split:
+        yield d, len(w) - 1, math.log10(p2(*w[:2])) + sum(math.log10(p3(*x)) for x in zip(w, w[1:], w[2:], strict=False))
+
+
+def test_trigrams_against_brute_force(spark, sf, monkeypatch):
+    monkeypatch.setattr(ngram, "RUN_TOKENS", 20_000)
+    docs = [d[:2] for d in documents(sf)]
+    got = {r.doc_id: r for r in queries.QUERIES["op1_ngram_score"](spark, sf).collect()}
+    for d, n, want in brute3(docs):
+        assert got[d].n_tokens == n and abs(got[d].score3 - want) <= ngram.STEP * n + 1e-6
+    held = [r for r in got.values() if r.held_out]
+    assert sum(r.score3 for r in held) > sum(r.score for r in held)
+
+
+def test_trigrams_tell_orders_of_words_that_bigrams_do_not(spark):
+    rows = [(i, "a x b" if i % 2 else "c x d") for i in range(400)] + [(1001, "a x b"), (1002, "a x d")]
+    got = {r.doc_id: r for r in ngram.score(spark.createDataFrame(rows, "doc_id long, text string"), trained="doc_id < 1000").collect()}
+    seen, new = got[1001], got[1002]
+    assert abs(seen.score - new.score) < 0.05 and seen.score3 - new.score3 > 0.5
