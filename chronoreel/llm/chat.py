@@ -94,7 +94,7 @@ class Windows:
 def count_tokens(texts: list[str], tokenizer: str) -> np.ndarray:
     from chronoreel.llm.token_store import tokenize
 
-    return tokenize(texts, tokenizer)[1]
+    return tokenize([t.encode() for t in texts], tokenizer)[1]
 
 
 def format_windows(

@@ -74,6 +74,15 @@ class Memo:
         self.begin[at], self.n[at] = self.used + np.cumsum(n) - n, n
         self.used += len(more)
 
+    def each(self, strings: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each string's ids are: the array that holds them, their begin in it, and how many."""
+        if len(self.code) > self.most:
+            self.old = (self.code, self.flat, self.begin, self.n)
+            self._begin()
+        code = np.fromiter(map(self.code.__getitem__, strings), np.int64, len(strings))
+        self._learn()
+        return self.flat, self.begin[code], self.n[code]
+
     def ids(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, given as lists of strings, one after another; and how many each text has."""
         if len(self.code) > self.most:
