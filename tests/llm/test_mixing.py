@@ -65,3 +65,13 @@ def test_edge_rows(spark):
     assert len(everything) == 10 and all(0 <= r.taken <= 2 * r["size"] for r in everything)
     assert mixing.mix(edge_docs(spark), budget=2.0).where("taken <> 2 * size").count() == 0
     assert {r.taken for r in mixing.mix(edge_docs(spark, EDGE_DOCS[:2])).collect()} == {0}
+
+
+def test_reruns_agree_on_repeated_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 5)
+    rows = [(i % 7 if i % 3 else None, "w " * (i % 11), "en", "ab"[i % 2], 1) for i in range(200)]
+    take = lambda order: sorted(tuple(r)[1:] for r in mixing.mix(edge_docs(spark, order).repartition(5)).collect())
+    once = take(rows)
+    assert once == take(rows[::-1])
+    total = sum(r[1] for r in once)
+    assert abs(sum(r[4] for r in once) - 1.5 * total) <= 20
