@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,11 +18,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; one of our own only if it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that ``spark.checkpoint.dir`` names. Where it is unset, one of our own, on a local master alone: no other has one machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="chronoreel-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
@@ -80,23 +83,6 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64), 7) | np.uint64(1)
-_ODD, _BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept for the process."""
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(10, int(n - 1).bit_length())
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        _POWERS[base] = have
-    return have[:n]
-
-
 def split_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of all texts at once: bytes (texts joined by a space), each word's start and end in them, and words per text."""
     buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
@@ -112,21 +98,28 @@ def split_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np
     return buf, start, end, np.diff(upto, prepend=0)
 
 
+#: Bytes up to which words are hashed side by side; longer ones are rare, and hashed one by one.
+SHORT = 256
+
+
 def hash_words(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word that depends on its bytes alone; prefix sums make it a few passes over the bytes."""
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    out = np.empty(len(start), np.uint64)
-    step = 1 << 20  # words at a time, so that powers stay within a few MB
-    for i in range(0, len(start), step):
-        s, e = start[i : i + step], end[i : i + step]
-        base = s[0]
-        piece = buf[base : e[-1]]
-        total = np.zeros(len(piece) + 1, np.uint64)
-        np.cumsum(_BYTE[piece] * powers(_ODD, len(piece)), out=total[1:])
-        s, e = s - base, e - base
-        out[i : i + step] = (total[e] - total[s]) * powers(_BACK, len(piece) + 1)[s]
-    return mix64(out + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """A 64-bit hash of each word that depends on its bytes alone: eight bytes at a time go through a finaliser."""
+    size = end - start
+    h = mix64(size.astype(np.uint64), 3)
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
+    live = np.flatnonzero((size > 0) & (size <= SHORT))
+    for at in range(0, SHORT, 8):
+        live = live[size[live] > at]
+        if not len(live):
+            break
+        x = eight[start[live] + at]
+        left = np.minimum(8, size[live] - at)
+        x &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (64 - 8 * left).astype(np.uint64)
+        h[live] = mix64(h[live] ^ x, 4)
+    for i in np.flatnonzero(size > SHORT).tolist():
+        h[i] = xxhash.xxh64_intdigest(buf[start[i] : end[i]].tobytes(), 4)
+    return h
 
 
 class Forest:
@@ -177,7 +170,3 @@ def components(edges: DataFrame) -> DataFrame:
         drop(old)
     stars = e.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
     return stars.union(e.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
-
-
-def unite(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

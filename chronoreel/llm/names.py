@@ -99,7 +99,6 @@ def gather(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int
 def distinct_words(texts: list[bytes], lower: bool = False) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words in order of their first place, each word's number among them, and words per text."""
     buf, start, end, n = split_words(texts, lower)
-    solid = np.ones(len(buf), bool)
     edge = np.zeros(len(buf) + 1, np.int8)
     edge[start] += 1
     edge[end] -= 1
@@ -248,18 +247,25 @@ def answer_pairs(asks: DataFrame, buckets: int, level: int) -> DataFrame:
 # --- answers at their chunks ----------------------------------------------------------------
 
 
-def with_answers(chunks: DataFrame, answers: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """``run(chunk row as a dict, answers in order of bucket)`` gives a table of ``schema`` for each chunk.
+def with_answers(chunks: DataFrame | list[DataFrame], answers: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``run(chunk, its blobs by name, answers in order of bucket)`` gives a table of ``schema`` for each chunk.
 
-    Chunks' columns must be binary, next to ``chunk``.
+    Columns of ``chunks`` must be binary, next to ``chunk``; of several tables a chunk has one row in each.
     """
-    blobs = [c for c in chunks.columns if c != "chunk"]
-    mine = chunks.select("chunk", F.lit(-1).alias("bucket"), *blobs, F.lit(None).cast("binary").alias("rows"))
-    theirs = answers.select("chunk", "bucket", *[F.lit(None).cast("binary").alias(c) for c in blobs], "rows")
+    frames = chunks if isinstance(chunks, list) else [chunks]
+    tables, blobs = len(frames), list(dict.fromkeys(c for f in frames for c in f.columns if c != "chunk"))
+    none = F.lit(None).cast("binary")
+    both = answers.select("chunk", "bucket", *[none.alias(c) for c in blobs], "rows")
+    for f in frames:
+        both = f.select("chunk", F.lit(-1).alias("bucket"), *[F.col(c) if c in f.columns else none.alias(c) for c in blobs], none.alias("rows")).union(both)
 
     def each(key, t):
         t = t.sort_by("bucket")
-        own = {c: t.column(c)[0].as_buffer() for c in blobs if t.column(c)[0].is_valid}
-        return run(key[0].as_py(), own, [x.as_buffer() for x in t.column("rows").slice(1)])
-
-    return mine.union(theirs).groupBy("chunk").applyInArrow(each, schema)
+        own = {}
+        for c in blobs:
+            for x in t.column(c).slice(0, tables):
+                if x.is_valid:
+                    own[c] = x.as_buffer()
+        return run(key[0].as_py(), own, [x.as_buffer() for x in t.column("rows").slice(tables)])
+
+    return both.groupBy("chunk").applyInArrow(each, schema)

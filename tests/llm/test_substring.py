@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+
 from chronoreel.llm import queries, substring
 
 from .helpers import EDGE_DOCS, documents, edge_docs
@@ -61,3 +63,40 @@ def test_edge_rows(spark):
     assert rows_of(substring.remove_repeats(edge_docs(spark, tied))) == brute([d[:2] for d in tied])
     assert substring.remove_repeats(edge_docs(spark, [])).count() == 0
     assert {r.text for r in substring.remove_repeats(edge_docs(spark, EDGE_DOCS[:2])).collect()} == {"", None}
+
+def test_windows_of_any_length(spark):
+    r = random.Random(8)
+    passages = [[f"p{r.randrange(25)}" for _ in range(260)] for _ in range(4)] + [["a"] * 230, ["a", "b"] * 110, ["a"] * 5 + ["b"] * 3 + ["c"] * 200]
+    for window in (1, 4, 20, 50, 200):
+        rows = []
+        for i in range(40):
+            w = [f"w{r.randrange(9)}" for _ in range(r.randrange(12))]
+            for p in r.sample(passages, r.randrange(3)):
+                lo = r.randrange(20)
+                at = r.randrange(len(w) + 1)
+                w[at:at] = p[lo : lo + window + r.randrange(-2, 20)]
+            rows.append((r.randrange(60), " ".join(w)))
+        got = rows_of(substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), window))
+        assert got == brute(rows, window) and sum(x[2] for x in got), window
+
+
+def test_words_are_compared_not_their_hashes(spark, monkeypatch):
+    """Words on which sums of powers of an odd number collide, and a window hash that always does."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    rest = " ".join(f"x{i}" for i in range(49))
+    rows = [(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, f"{b} {rest}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r[2] for r in rows_of(substring.remove_repeats(df))] == [0, 0, 50]
+    words = np.arange(100, dtype=np.uint64) % 51
+    monkeypatch.setattr(substring, "_K", np.uint64(0))
+    same = substring.earlier(np.zeros(3, np.uint64), np.concatenate([words[:50], words[1:51], words[:50]]) + np.uint64(0), np.array([0, 50, 100]), np.array([5, 3, 4]), 50)
+    assert same.tolist() == [4, 3, 4]
+
+
+def test_one_very_long_text(spark):
+    big = "y" * 30_000_000 + " " + "z " * 200_000
+    rows = [(1, big), (2, "z " * 60), (3, "y" * 30_000_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r[:3] for r in rows_of(substring.remove_repeats(df))] == [(1, 200_001, 0), (2, 60, 60), (3, 1, 0)]
