@@ -1,12 +1,14 @@
 """Scoring texts under an n-gram model held in Elias-Fano tries.
 
-Counts are combined by task before they travel, as packed arrays. Trigrams, the word after an
-end being a pad, go to shards by their first word; one with a large part of all tokens is
-spread over all shards by the second. So a shard has all trigrams of its bigrams, whose
-counts are sums of theirs. It builds one trie: contexts, below each its successors, and below
-each of these its own, as numbers relative to the level above, in one monotone sequence a
-level that a search answers by the next value not below. What a task asked for comes back in
-the order asked, a few codes for each trigram.
+Documents are written in chunks, so all passes see the same. A Spark round gives every distinct
+word a global name and its count. Counts are combined by chunk before they travel, as packed
+arrays. Trigrams, the word after an end being a pad, go to shards by their first word; one with
+a large part of all tokens is spread over all shards by the second. So a shard has all trigrams
+of its bigrams, whose counts are sums of theirs. It builds one trie: contexts, below each its
+successors, and below each of these its own, as numbers relative to the level above, in one
+monotone sequence a level that a search answers by the next value not below. What a chunk asked
+for comes back in the order asked, a few codes for each trigram. A shard's trie is mapped from a
+file without a name in its worker's own temporary folder; a task run again builds it again.
 
 P(w|u) = c(u,w) / (c(u) + M)  +  M / (c(u) + M) * P(w),  P(w) = (c(w) + .5) / (N + .5 (V + 1)).
 P(w|t,u) = c(t,u,w) / (c(t,u) + M)  +  M / (c(t,u) + M) * P(w|u); a first word has P(w|u) alone.
@@ -15,24 +17,23 @@ The first terms are what the trie holds, quantised, and the weight before P(w|u)
 
 from __future__ import annotations
 
-import itertools
 import tempfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoreel.llm.common import as_bytes, collect_garbage, cut, hash_words, mix64, split_words
+from chronoreel.llm import names
+from chronoreel.llm.common import collect_garbage, cut, drop, mix64
+from chronoreel.llm.names import ANSWER, ASK, squeeze, unsqueeze
 
-#: Tokens that a task combines before it sends, and n-grams wanted in a shard.
-RUN_TOKENS, SHARD_NGRAMS = 1_500_000, 600_000
+#: N-grams wanted in a shard.
+SHARD_NGRAMS = 1_500_000
 #: Weight of the lower order in tokens, and the share of all tokens from which a context is spread.
 PRIOR, HOT_SHARE = 30.0, 1 / 2_000
-END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
-#: What follows an end.
-PAD = np.uint64(0x2545F4914F6CDD1D)
+#: The context of a first word, and what follows an end; names of words are larger. An end is the empty word.
+BEGIN, PAD = np.uint64(1), np.uint64(2)
 #: Steps of log10 that a quantised probability is told in; code 0 is none.
 STEP = 8 / 254
 
@@ -47,6 +48,8 @@ class EliasFano:
 
     def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
         self.n, self.bits, self.low, self.high, self.ones = n, bits, low, high, ones
+        self.last = int(self.get(np.array([n - 1]))[0] >> np.uint64(bits)) if n else 0
+        self.zeros = np.arange(len(ones), dtype=np.int64) * 64 - ones
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -94,38 +97,54 @@ class EliasFano:
 
     def before(self, bucket: np.ndarray) -> np.ndarray:
         """How many values have high bits below ``bucket``: the ones before its zero, found by a search for the zero."""
-        zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
-        word = np.minimum(np.searchsorted(zeros, bucket - 1, side="right") - 1, len(self.high) - 1)
-        place = word * 64 + self._in_word(~self.high[word], bucket - 1 - zeros[word])
+        word = np.minimum(np.searchsorted(self.zeros, bucket - 1, side="right") - 1, len(self.high) - 1)
+        place = word * 64 + self._in_word(~self.high[word], bucket - 1 - self.zeros[word])
         return np.where(bucket <= 0, 0, np.minimum(place - (bucket - 1), self.n))
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """Index of the first value >= x, ``n`` if none: the bucket of equal high bits, then halving by low bits."""
+    def _ones_from(self, place: np.ndarray) -> np.ndarray:
+        """How many ones stand in a row from each place of the high bits."""
+        out, live = np.zeros(len(place), np.int64), np.arange(len(place))
+        at = place.copy()
+        while len(live):
+            word, off = at >> 6, at & 63
+            x = ~(self.high[np.minimum(word, len(self.high) - 1)] >> off.astype(np.uint64))
+            run = np.minimum(np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)).astype(np.int64), 64 - off)
+            out[live] += run
+            on = (run == 64 - off) & (word + 1 < len(self.high))
+            live, at = live[on], (at + run)[on]
+        return out
+
+    def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the first value >= x, ``n`` if none, and whether it is x: the bucket of equal high bits, then halving by low bits."""
         x = np.asarray(x, np.uint64)
         if not self.n:
-            return np.zeros(len(x), np.int64)
+            return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
         bucket = (x >> np.uint64(self.bits)).astype(np.int64)
-        last = int(self.get(np.array([self.n - 1]))[0] >> np.uint64(self.bits))
-        inside = bucket <= last
-        b = np.where(inside, bucket, last)
-        lo, hi = self.before(b), self.before(b + 1)
+        inside = bucket <= self.last
+        bucket = np.where(inside, bucket, self.last)
+        lo = self.before(bucket)
+        end = lo + self._ones_from(lo + bucket)
         want = x & np.uint64((1 << self.bits) - 1)
-        lo = np.where(inside, lo, self.n)
-        hi = np.where(inside, hi, self.n)
-        while True:
-            live = np.flatnonzero(lo < hi)
-            if not len(live):
-                return lo
+        lo, hi = np.where(inside, lo, self.n), np.where(inside, end, self.n)
+        live = np.flatnonzero(lo < hi)
+        while len(live):
             mid = (lo[live] + hi[live]) >> 1
             less = self._lows(mid) < want[live]
             lo[live] = np.where(less, mid + 1, lo[live])
             hi[live] = np.where(less, hi[live], mid)
+            live = live[lo[live] < hi[live]]
+        same = inside & (lo < end)
+        some = np.flatnonzero(same)
+        same[some] = self._lows(lo[some]) == want[some]
+        return lo, same
+
+    def successor(self, x: np.ndarray) -> np.ndarray:
+        """Index of the first value >= x, ``n`` if none."""
+        return self._search(x)[0]
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """Index of x, or -1."""
-        i = self.successor(x)
-        safe = np.minimum(i, max(0, self.n - 1))
-        same = (i < self.n) & (self.get(safe) == np.asarray(x, np.uint64)) if self.n else np.zeros(len(i), bool)
+        i, same = self._search(x)
         return np.where(same, i, -1)
 
 
@@ -167,26 +186,31 @@ class Trie:
         parts = (EliasFano.of(contexts), *cls._level(first, word), *cls._level(start, word3))
         return cls(dict(zip(cls.PARTS, parts, strict=True)), {"codes": quantise(p), "weights": quantise(np.ones(len(p)) if weight is None else weight), "codes3": quantise(p3)})
 
-    def _below(self, parent: np.ndarray, word: np.ndarray, level: str) -> np.ndarray:
-        """Place of each word below its parent's place, -1 where either is missing: found relative to it, within its pointers."""
+    def _below(self, parent: np.ndarray, times: np.ndarray, word: np.ndarray, level: str) -> np.ndarray:
+        """Place of each word below its parent's place, -1 where either is missing: found relative to it, within its pointers.
+
+        ``times`` is how many of the words ask below each parent, in order.
+        """
         words, pointers, successors = (self.parts[x + level] for x in ("words", "pointers", "successors"))
-        w, out = words.find(word), np.full(len(word), -1)
-        some = np.flatnonzero((parent >= 0) & (w >= 0))
-        if len(some):
-            c = parent[some]
-            at = successors.find(c.astype(np.uint64) * np.uint64(max(1, words.n)) + w[some].astype(np.uint64))
-            lo, hi = pointers.get(c), pointers.get(c + 1)
-            good = (at >= 0) & (at >= lo.astype(np.int64)) & (at < hi.astype(np.int64))
-            out[some[good]] = at[good]
+        safe = np.maximum(parent, 0)
+        lo, hi = (np.repeat(pointers.get(at).astype(np.int64), times) if pointers.n > 1 else np.zeros(len(word), np.int64) for at in (safe, safe + 1))
+        parent = np.repeat(parent, times)
+        out = np.full(len(word), -1)
+        some = np.flatnonzero((parent >= 0) & (lo < hi))
+        w = words.find(word[some])
+        some, w = some[w >= 0], w[w >= 0]
+        at = successors.find(parent[some].astype(np.uint64) * np.uint64(max(1, words.n)) + w.astype(np.uint64))
+        good = (at >= lo[some]) & (at < hi[some])
+        out[some[good]] = at[good]
         return out
 
-    def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Place of each pair, -1 if the trie has none."""
-        return self._below(self.parts["contexts"].find(context), word, "")
+    def find(self, context: np.ndarray, word: np.ndarray, times: np.ndarray | None = None) -> np.ndarray:
+        """Place of each pair, -1 if the trie has none; ``times`` words ask below each context, one if it is left out."""
+        return self._below(self.parts["contexts"].find(context), np.ones(len(context), np.int64) if times is None else times, word, "")
 
-    def find3(self, pair: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Place of each word below the pairs at these places, -1 if the trie has none."""
-        return self._below(pair, word, "3")
+    def find3(self, pair: np.ndarray, times: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Place of each word below the pairs at these places, ``times`` below each, -1 if the trie has none."""
+        return self._below(pair, times, word, "3")
 
     def code(self, kind: str, at: np.ndarray, other: int = 0) -> np.ndarray:
         codes = self.codes[kind]
@@ -228,180 +252,147 @@ class Trie:
             return self.load(f, self.save(f))
 
 
-# --- what a task sends and gets ----------------------------------------------------------
+# --- what a chunk sends and gets -----------------------------------------------------------
 
+TEXT, PLACED, NAMED = "chunk long, docs binary, at binary, words binary, n_words long", "chunk long, docs binary, at binary, places binary", "chunk long, docs binary, words binary"
 
-class Run:
-    """The tokens of some documents: distinct words and trigrams in the order of their shards, and each token's place in the words and, as the middle, in the trigrams."""
 
-    def __init__(self, texts: list[bytes], train: np.ndarray, buckets: int, hot: np.ndarray | None):
-        buf, start, end, n = split_words(texts, lower=True)
-        words = hash_words(buf, start, end)
-        self.sizes = n + 1
+class Trigrams:
+    """Distinct trigrams of a chunk in order of their shards, and the place among them of the one that each token is the middle of."""
+
+    def __init__(self, own: dict, shards: int, hot: np.ndarray):
+        _, _, train, sizes = unsqueeze(own["docs"])
+        at, name, count = unsqueeze(own["words"])
+        self.sizes, self.at, self.count = sizes.astype(np.int64), at, count
+        at, k = at.astype(np.int64), np.int64(len(name) + 1)
         stop = np.cumsum(self.sizes) - 1
-        token = np.empty(len(words) + len(texts), np.uint64)
-        inner = np.ones(len(token), bool)
-        inner[stop] = False
-        token[inner], token[stop] = words, END
-        counts = np.repeat(train, self.sizes)
-        unique, inverse = np.unique(token, return_inverse=True)
-        seen = np.bincount(inverse, counts, len(unique)).astype(np.int64)
-        self.check = int(mix64(unique, 5).sum() & np.uint64((1 << 62) - 1)) ^ len(token)
-        if hot is None:
-            self.words, self.n_words, self.word_bucket, place = self._dealt(buckets, mix64(unique, 2), unique, seen)
-            self.word_at = place[inverse]
-            return
-        came = np.concatenate(([len(unique)], inverse[:-1]))
-        came[stop[:-1] + 1] = len(unique)
-        pair, inverse2 = np.unique(came * np.int64(len(unique) + 1) + inverse, return_inverse=True)
-        then = np.append(inverse[1:], len(unique))
-        then[stop] = len(unique)
-        triple, inverse3 = np.unique(inverse2 * np.int64(len(unique) + 1) + then, return_inverse=True)
-        of, x = np.divmod(triple, len(unique) + 1)
-        u, w = np.divmod(pair[of], len(unique) + 1)
-        context, word, after = np.append(unique, BEGIN)[u], unique[w], np.append(unique, PAD)[x]
-        seen = np.bincount(inverse3, counts, len(triple)).astype(np.int64)
+        came = np.concatenate(([len(name)], at[:-1]))
+        came[stop[:-1] + 1] = len(name)
+        then = np.append(at[1:], len(name))
+        then[stop] = len(name)
+        pair, of_pair = np.unique(came * k + at, return_inverse=True)
+        triple, of_triple = np.unique(of_pair * k + then, return_inverse=True)
+        of, x = np.divmod(triple, k)
+        u, w = np.divmod(pair[of], k)
+        context, middle, after = np.append(name, BEGIN)[u], name[w], np.append(name, PAD)[x]
         key = mix64(context, 3)
         spread = np.isin(context, hot)
-        key[spread] = mix64(context[spread] ^ mix64(word[spread], 4), 3)
-        (self.contexts, self.middle, self.after), self.n_triples, self.triple_bucket, place = self._dealt(buckets, key, (context, word, after), seen)
-        self.triple_at = place[inverse3]
-
-    @staticmethod
-    def _dealt(buckets, key, rows, counts):
-        bucket = (key % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        rows = tuple(r[order] for r in rows) if isinstance(rows, tuple) else rows[order]
-        return rows, counts[order], bucket[order], place
-
-
-def _runs(batches, buckets: int, hot: np.ndarray | None):
-    """Runs of a task in order, numbered by partition and place; the same input gives the same runs."""
-    part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
-
-    def close():
-        texts, ids, train = ([x for h in held for x in h[k]] for k in (0, 1, 2))
-        return (part << 24) + seq, ids, train, Run(texts, np.array(train, bool), buckets, hot)
-
+        key[spread] = mix64(context[spread] ^ mix64(middle[spread], 4), 3)
+        shard = (key % np.uint64(shards)).astype(np.int32)
+        order = np.lexsort((after, middle, context, shard))
+        self.place = np.empty(len(order), np.int64)
+        self.place[order] = np.arange(len(order))
+        self.place = self.place[of_triple]
+        self.shard, self.context, self.middle, self.after = shard[order], context[order], middle[order], after[order]
+        self.n = np.bincount(of_triple, np.repeat(train, self.sizes), len(triple)).astype("<u4")[order]
+
+    def ask(self, chunk: int) -> pa.RecordBatch:
+        spans, rows = names.slices(self.shard), []
+        for a, b in spans:
+            context, middle = self.context[a:b], self.middle[a:b]
+            fresh = np.ones(b - a, bool)
+            fresh[1:] = context[1:] != context[:-1]
+            new = fresh.copy()
+            new[1:] |= middle[1:] != middle[:-1]
+            new = np.flatnonzero(new)
+            top = np.flatnonzero(fresh[new])
+            steps = np.diff(context[new[top]], prepend=np.uint64(0))
+            rows.append(squeeze(steps, middle[new], self.after[a:b], np.diff(top, append=len(new)).astype("<u4"), np.diff(new, append=b - a).astype("<u4"), self.n[a:b]))
+        return names.batch([[int(self.shard[a]) for a, _ in spans], [chunk] * len(spans), [b - a for a, b in spans], rows], ASK)
+
+
+def _rows(batches, columns: list[str]):
     for b in batches:
-        texts, ids, train = as_bytes(b.column("text")), b.column("doc_id").to_pylist(), b.column("train").to_pylist()
-        i = 0
-        for j, t in enumerate(texts):
-            size += len(t) // 4 + 1
-            if size >= RUN_TOKENS:
-                held.append((texts[i : j + 1], ids[i : j + 1], train[i : j + 1]))
-                yield close()
-                i, seq, held, size = j + 1, seq + 1, [], 0
-        if i < len(texts):
-            held.append((texts[i:], ids[i:], train[i:]))
-    if held:
-        yield close()
-
-
-def _squeeze(*arrays: np.ndarray) -> bytes:
-    raw = b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def _open(blob) -> memoryview:
-    raw = memoryview(blob)
-    return memoryview(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd"))
-
-
-def _slices(bucket: np.ndarray):
-    if not len(bucket):
-        return []
-    cutat = np.flatnonzero(np.diff(bucket)) + 1
-    return zip(np.concatenate(([0], cutat)).tolist(), np.append(cutat, len(bucket)).tolist(), strict=True)
-
-
-SENT = "bucket int, run long, sum long, n long, rows binary"
-ANSWER = "run long, kind int, bucket int, sum long, n long, rows binary"
-
-
-def _table(columns: list, schema: str) -> pa.RecordBatch:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
-    fields = [x.split() for x in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+        for chunk, *blobs in zip(b.column("chunk").to_pylist(), *(b.column(c) for c in columns), strict=True):
+            yield chunk, {c: x.as_buffer() for c, x in zip(columns, blobs, strict=True)}
 
 
 def score(docs: DataFrame, trained: str = "crc32(string(doc_id)) % 5 <> 1", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, score3`` for each row.
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, score2`` for each row.
 
     The model learns from rows for which ``trained``, SQL over ``doc_id``, holds; rows with a
     null id are neither learned from nor held out. Tokens are the words of the text with A-Z in lower
-    case, then one end. ``base_score`` is under single tokens alone, ``score`` under the bigram
-    model, ``score3`` under the trigram model, all log10. Null text is empty. Equal ids are rows of their own. An empty table gives an empty table.
+    case, then one end. ``base_score`` is under single tokens alone, ``score`` under the trigram
+    model, ``score2`` under its bigrams alone, all log10. Null text is empty. Equal ids are rows of
+    their own. An empty table gives an empty table. One text is worked on in one task, up to 2 GB.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("train", F.coalesce(F.expr(trained), F.lit(False)))
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def send_words(batches):
-        for run, _, _, r in _runs(batches, buckets, None):
-            spans = list(_slices(r.word_bucket))
-            yield _table([[int(r.word_bucket[a]) for a, _ in spans], [run] * len(spans), [r.check] * len(spans), [b - a for a, b in spans], [_squeeze(r.words[a:b], r.n_words[a:b].astype("<u4")) for a, b in spans]], SENT)
-
-    def count_words(key, t):
-        sizes = t.column("n").to_numpy()
-        word, n = np.empty(sizes.sum(), np.uint64), np.empty(sizes.sum(), np.int64)
-        at = np.concatenate(([0], np.cumsum(sizes)))
-        for i, x in enumerate(t.column("rows")):
-            raw = _open(x.as_buffer())
-            word[at[i] : at[i + 1]] = np.frombuffer(raw, "<u8", sizes[i])
-            n[at[i] : at[i + 1]] = np.frombuffer(raw, "<u4", sizes[i], 8 * int(sizes[i]))
-        unique, inverse = np.unique(word, return_inverse=True)
-        total = np.bincount(inverse, n, len(unique)).astype(np.int64)
-        found = total[inverse].astype("<u4" if total.max(initial=0) < 1 << 32 else "<u8")
-        k = len(sizes)
-        answers = [t.column("run").to_pylist(), [1] * k, [key[0].as_py()] * k, t.column("sum").to_pylist(), sizes.tolist(), [_squeeze(found[a:b]) for a, b in zip(at, at[1:], strict=False)]]
-        # counts of all words here, the number of them, and those that may be hot
-        large = np.flatnonzero((total >= total.sum() * HOT_SHARE) | (unique == END))
-        rest = [[None] * (1 + len(large)), [0] + [-1] * len(large), [int((total > 0).sum())] + [0] * len(large), [int(total.sum()), *unique[large].view(np.int64).tolist()], [0, *total[large].tolist()], [None] * (1 + len(large))]
-        return pa.Table.from_batches([_table([a + b for a, b in zip(answers, rest, strict=True)], ANSWER)])
-
-    of_words = cut(rows.mapInArrow(send_words, SENT).groupBy("bucket").applyInArrow(count_words, ANSWER), "words")
-    collect_garbage(spark)
-    tokens, distinct = of_words.where("kind = 0").agg(F.coalesce(F.sum("sum"), F.lit(0)), F.coalesce(F.sum("bucket"), F.lit(0))).first()
-    hot = of_words.where((F.col("kind") == -1) & ((F.col("n") >= F.lit(tokens * HOT_SHARE)) | (F.col("sum") == int(END.view(np.int64))))).select("sum", "n").collect()
-    often = {int(np.int64(h).view(np.uint64)): n for h, n in hot}  # at most 1 / HOT_SHARE words
-    often[int(BEGIN)] = often.get(int(END), 0)
+
+    def split(batches):
+        for chunk, t, texts in names.gather(batches, "text"):
+            words, at, n = names.distinct_words(texts, lower=True)
+            ids, train, sizes = t.column("doc_id"), t.column("train").to_numpy(), n + 1
+            stop = np.cumsum(sizes) - 1
+            token = np.full(int(sizes.sum()), len(words), "<u4")
+            inner = np.ones(len(token), bool)
+            inner[stop] = False
+            token[inner] = at
+            seen = np.bincount(token, np.repeat(train, sizes), len(words) + 1).astype("<u4")
+            words = pa.concat_arrays([words, pa.array([b""], words.type)])
+            yield names.batch([[chunk], [squeeze(ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(), train, sizes.astype("<u4"))], [squeeze(token)], [names.pack_words(words, seen)], [len(words)]], TEXT)
+
+    text = cut(rows.mapInArrow(split, TEXT), "text")
+    buckets = names.n_buckets(text, text.agg(F.sum("n_words")).first()[0] or 0)
+
+    def name_and_count(number, seen, asked, bucket):
+        total = np.bincount(number, seen, len(asked)).astype(np.int64)[number]
+        return [names.name_of(number, bucket, buckets), total.astype("<u4" if total.max(initial=0) < 1 << 32 else "<u8")]
+
+    def summary(words, number, seen, bucket):
+        """Under chunk -1 the bucket's tokens, -2 its distinct trained words, -3 its frequent words, -4 the end; names as blobs."""
+        total = np.bincount(number, seen, len(words)).astype(np.int64)
+        often = np.flatnonzero(total >= total.sum() * HOT_SHARE).tolist()
+        end = np.flatnonzero(np.diff(names.raw_words(words)[1]) == 0).tolist()
+        name = lambda i: squeeze(names.name_of(np.array([i]), bucket, buckets))
+        kinds = [-1, -2] + [-3] * len(often) + [-4] * len(end)
+        return names.table([kinds, [bucket] * len(kinds), [int(total.sum()), int((total > 0).sum()), *total[often].tolist(), *total[end].tolist()], [None, None, *map(name, often), *map(name, end)]], ANSWER)
+
+    answers = cut(names.answer_words(names.ask_words(text, buckets), buckets, name_and_count, summary), "counts")
+    tokens, distinct = answers.agg(*[F.coalesce(F.sum(F.when(F.col("chunk") == k, F.col("n"))), F.lit(0)) for k in (-1, -2)]).first()
+    found = answers.where((F.col("chunk") == -4) | (F.col("chunk") == -3) & (F.col("n") >= F.lit(tokens * HOT_SHARE))).select("chunk", "n", "rows").collect()
+    often = {int(unsqueeze(r.rows)[0][0]): r.n for r in found}  # at most 1 / HOT_SHARE words, and the end
+    ends = sum(r.n for r in found if r.chunk == -4)
+    often[int(BEGIN)] = ends
     hot_words = np.array(sorted(often), np.uint64)
     hot_counts = np.array([often[int(h)] for h in hot_words], np.int64)
-    asked = of_words.where("kind = 1").agg(F.sum("n")).first()[0] or 0
-    shards = max(buckets, -(-asked * 10 // SHARD_NGRAMS))
-
-    def send_triples(batches):
-        for run, _, _, r in _runs(batches, shards, hot_words):
-            out = [[], [], [], [], []]
-            for a, b in _slices(r.triple_bucket):
-                context, middle = r.contexts[a:b], r.middle[a:b]
-                fresh = np.diff(context, prepend=~context[:1]) != 0
-                new = np.flatnonzero(fresh | (np.diff(middle, prepend=~middle[:1]) != 0))
-                top = np.flatnonzero(fresh[new])
-                head = np.array([len(top), len(new)], "<u8")
-                blob = _squeeze(head, context[new[top]], middle[new], r.after[a:b], np.diff(top, append=len(new)).astype("<u4"), np.diff(new, append=b - a).astype("<u4"), r.n_triples[a:b].astype("<u4"))
-                for column, value in zip(out, (int(r.triple_bucket[a]), run, r.check, b - a, blob), strict=True):
-                    column.append(value)
-            yield _table(out, SENT)
-
-    def build_and_ask(key, t):
-        sizes = t.column("n").to_numpy()
-        asks = []  # by run: contexts and middles of its bigrams, trigrams of each, last words
-        seen = []
-        for i, x in enumerate(t.column("rows")):
-            raw, size = _open(x.as_buffer()), int(sizes[i])
-            k, m = np.frombuffer(raw, "<u8", 2).astype(np.int64).tolist()
-            top, middle, after = (np.frombuffer(raw, "<u8", c, 16 + 8 * at) for c, at in ((k, 0), (m, k), (size, k + m)))
-            at = 16 + 8 * (k + m + size)
-            per_top, per_pair, n = (np.frombuffer(raw, "<u4", c, at + 4 * skip) for c, skip in ((k, 0), (m, k), (size, k + m)))
-            context = np.repeat(top, per_top)
-            asks.append((context, middle, per_pair, after))
+
+    def places(batches):
+        """Where each of a chunk's words is among the answers, which come in order of bucket."""
+        for chunk, own in _rows(batches, ["docs", "at", "words"]):
+            sizes, data, _ = unsqueeze(own["words"])
+            order, _ = names.word_buckets(data, np.concatenate(([0], np.cumsum(sizes.astype(np.int64)))), buckets)
+            place = np.empty(len(order), "<u4")
+            place[order] = np.arange(len(order))
+            yield names.batch([[chunk], [own["docs"].to_pybytes()], [own["at"].to_pybytes()], [squeeze(place)]], PLACED)
+
+    def first(chunk, own, got):
+        got, place = [unsqueeze(a) for a in got], unsqueeze(own["places"])[0]
+        name, count = (np.concatenate([a[k] for a in got])[place] for k in range(2))
+        return names.table([[chunk], [own["docs"].to_pybytes()], [squeeze(unsqueeze(own["at"])[0], name, count)]], NAMED)
+
+    named = cut(names.with_answers(text.select("chunk", "docs", "at", "words").mapInArrow(places, PLACED), answers.where("chunk >= 0"), first, NAMED), "named")
+    asked = text.agg(F.sum("n_words")).first()[0] or 0
+    drop(text)
+    drop(answers)
+    del text, answers
+    collect_garbage(spark)
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-asked * 8 // SHARD_NGRAMS))
+
+    def ask(batches):
+        for chunk, own in _rows(batches, ["docs", "words"]):
+            yield Trigrams(own, shards, hot_words).ask(chunk)
+
+    def build_and_answer(key, t):
+        t = t.sort_by("chunk")
+        asks, seen = [], []  # by chunk: contexts, middles below them, trigrams of each, last words
+        for x in t.column("rows"):
+            steps, middle, after, per_top, per_pair, n = unsqueeze(x.as_buffer())
+            top = np.cumsum(steps, dtype=np.uint64)
+            asks.append((top, middle, per_top, per_pair, after))
             some = np.flatnonzero(n)
-            of = np.repeat(np.arange(m), per_pair)[some]
-            seen.append((context[of], middle[of], after[some], n[some].astype(np.int64)))
+            of = np.repeat(np.arange(len(middle)), per_pair)[some]
+            seen.append((np.repeat(top, per_top)[of], middle[of], after[some], n[some].astype(np.int64)))
         u, v, w, c = (np.concatenate([s[j] for s in seen]) for j in range(4))
         del seen
         order = np.lexsort((w, v, u))
@@ -415,67 +406,39 @@ def score(docs: DataFrame, trained: str = "crc32(string(doc_id)) % 5 <> 1", id_c
         both = np.bincount(parent, c, len(first))
         contexts, of = np.unique(u[first], return_inverse=True)
         total = np.bincount(of, both, len(contexts))
-        if len(hot_words):
-            i = np.minimum(np.searchsorted(hot_words, contexts), len(hot_words) - 1)
-            total = np.where(hot_words[i] == contexts, hot_counts[i], total)
+        i = np.minimum(np.searchsorted(hot_words, contexts), len(hot_words) - 1)
+        total = np.where(hot_words[i] == contexts, hot_counts[i], total)
         third = (first, w, c / (both[parent] + PRIOR))
         trie = Trie.of(u[first], v[first], both / (total[of] + PRIOR), PRIOR / (both + PRIOR), third).mapped()
-        codes = []
-        for context, middle, per_pair, after in asks:
-            at = trie.find(context, middle)
-            at3 = trie.find3(np.repeat(at, per_pair), after)
-            codes.append(_squeeze(trie.code("codes3", at3), np.repeat(trie.code("codes", at), per_pair), np.repeat(trie.code("weights", at, 1), per_pair)))
-        k = len(sizes)
-        return pa.Table.from_batches([_table([t.column("run").to_pylist(), [2] * k, [key[0].as_py()] * k, t.column("sum").to_pylist(), sizes.tolist(), codes], ANSWER)])
-
-    of_triples = cut(rows.mapInArrow(send_triples, SENT).groupBy("bucket").applyInArrow(build_and_ask, ANSWER), "trigrams")
-    collect_garbage(spark)
-
-    def send_streams(batches):
-        for (run, ids, train, r), (_, _, _, w) in _both(batches, buckets, shards, hot_words):
-            null = np.array([i is None for i in ids])
-            body = _squeeze(np.array([0 if i is None else i for i in ids], "<i8"), null, np.array(train, bool), r.sizes.astype("<u4"), w.word_at.astype("<u4"), r.triple_at.astype("<u4"))
-            yield _table([[run], [0], [0], [r.check], [len(ids)], [body]], ANSWER)
+        context, middle, per_top, per_pair, after = (np.concatenate([x[k] for x in asks]) for k in range(5))
+        at = trie.find(context, middle, per_top)
+        at3 = trie.find3(at, per_pair, after)
+        codes = trie.code("codes3", at3), np.repeat(trie.code("codes", at), per_pair), np.repeat(trie.code("weights", at, 1), per_pair)
+        ends = np.cumsum([len(x[4]) for x in asks]).tolist()
+        blobs = [squeeze(*[x[i:j] for x in codes]) for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+        return names.table([t.column("chunk").to_pylist(), [key[0].as_py()] * len(blobs), t.column("n").to_pylist(), blobs], ANSWER)
 
     base = np.log10(tokens + 0.5 * (distinct + 1))
 
-    def finish(key, t):
-        kind, order = t.column("kind").to_numpy(), np.lexsort((t.column("bucket").to_numpy(), t.column("kind").to_numpy()))
-        if len(set(t.column("sum").to_pylist())) != 1 or not (kind == 0).sum() == 1:
-            raise ValueError("the documents changed between passes")
-        counts, codes, raw, k = [], [], None, 0
-        for i in order.tolist():
-            x = _open(t.column("rows")[i].as_buffer())
-            n = t.column("n")[i].as_py()
-            if kind[i] == 0:
-                raw, k = x, n
-            elif kind[i] == 1:
-                counts.append(np.frombuffer(x, f"<u{len(x) // n}").astype(np.int64))
-            else:
-                codes.append(np.frombuffer(x, np.uint8).reshape(3, n))
-        ids, null, train = np.frombuffer(raw, "<i8", k), np.frombuffer(raw, bool, k, 8 * k), np.frombuffer(raw, bool, k, 9 * k)
-        sizes = np.frombuffer(raw, "<u4", k, 10 * k).astype(np.int64)
-        m = int(sizes.sum())
-        c = np.concatenate(counts)[np.frombuffer(raw, "<u4", m, 14 * k)]
-        p3, p, weight = LEVELS[np.concatenate(codes, axis=1)[:, np.frombuffer(raw, "<u4", m, 14 * k + 4 * m)]]
-        begin = np.cumsum(sizes) - sizes
+    def finish(chunk, own, got):
+        ids, null, train, sizes = unsqueeze(own["docs"])
+        t = Trigrams(own, shards, hot_words)
+        got = [unsqueeze(a) for a in got]
+        p3, p, weight = (LEVELS[np.concatenate([a[k] for a in got])[t.place]] for k in range(3))
+        begin = np.cumsum(t.sizes) - t.sizes
+        c = t.count.astype(np.int64)[t.at]
         single = np.log10(c + 0.5) - base
         before = np.concatenate(([0], c[:-1]))
-        before[begin] = often[int(BEGIN)]
+        before[begin] = ends
         both = np.log10(p + PRIOR / (before + PRIOR) * 10.0**single)
         three = both.copy()
         three[1:] = np.log10(p3[:-1] + weight[:-1] * 10.0 ** both[1:])
         three[begin] = both[begin]
         add = lambda x: np.add.reduceat(x, begin)
-        out = [pa.array(ids, mask=null), ~train & ~null, sizes, add((c > 0).astype(np.int64)), np.full(k, tokens, np.int64), add(single), add(both), add(three)]
-        return pa.Table.from_arrays([pa.array(x) for x in out], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "score3"])
-
-    everything = rows.mapInArrow(send_streams, ANSWER).union(of_words.where("kind = 1")).union(of_triples)
-    result = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, score3 double"
-    return everything.groupBy("run").applyInArrow(finish, result)
+        out = [pa.array(ids, mask=null), ~train & ~null, t.sizes, add((c > 0).astype(np.int64)), np.full(len(ids), tokens, np.int64), add(single), add(three), add(both)]
+        return pa.Table.from_arrays([pa.array(x) for x in out], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "score2"])
 
-
-def _both(batches, buckets: int, shards: int, hot: np.ndarray):
-    """Each run with its places among trigrams and among words; both read the same documents in step."""
-    one, two = itertools.tee(batches)
-    return zip(_runs(one, shards, hot), _runs(two, buckets, None), strict=True)
+    trigrams = cut(named.mapInArrow(ask, ASK).groupBy("bucket").applyInArrow(build_and_answer, ANSWER), "trigrams")
+    collect_garbage(spark)
+    result = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, score2 double"
+    return names.with_answers(named, trigrams, finish, result)
