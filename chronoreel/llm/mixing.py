@@ -24,6 +24,15 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def text_of(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+
+
+def tie_of(text_col: str) -> Column:
+    """What tells rows of one id apart: a hash of the text, null as empty."""
+    return F.xxhash64(text_of(text_col))
+
+
 def source_targets(sizes: DataFrame, budget: float, repeat: float, weights: tuple[int, ...]) -> DataFrame:
     """``source, source_no, source_size, n, weight, target`` from one row of totals per source.
 
@@ -59,7 +68,7 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """``doc_id, source, size, source_size, target, taken``: the words that a mix takes of each document.
+    """``doc_id, source, size, tie, source_size, target, taken``: the words that a mix takes of each document.
 
     ``budget`` is the mix's size as a multiple of all sizes; no document is taken more than
     ``repeat`` times. Null text has size 0; a null source is a source of its own, the last.
@@ -67,14 +76,13 @@ def mix(
     ids, first, have the md5 of their text instead. Rows alike in all of that stand in one order
     or another, which no result can tell. An empty table gives an empty table.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = cut(
         docs.select(
             F.col(id_col).cast("long").alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
             word_count(F.col(text_col)).alias("size"),
-            F.coalesce(F.md5(F.col(id_col).cast("long").cast("string")), F.md5(text)).alias("key"),
-            F.xxhash64(text).alias("tie"),
+            F.coalesce(F.md5(F.col(id_col).cast("long").cast("string")), F.md5(text_of(text_col))).alias("key"),
+            tie_of(text_col).alias("tie"),
         ),
         "sizes",
     )
@@ -82,7 +90,7 @@ def mix(
     goals = cut(source_targets(totals, budget, repeat, weights), "targets")
     all_sources, all_words = goals.agg(F.count("*"), F.sum("source_size")).first()
     if not all_sources:
-        return rows.selectExpr("doc_id", "source", "size", "size AS source_size", "0D AS target", "size AS taken")
+        return rows.selectExpr("doc_id", "source", "size", "tie", "size AS source_size", "0D AS target", "size AS taken")
     limit = all_words * budget
 
     g = goals.select(F.col("source").alias("of"), "source_no", "source_size", "target", F.ceil(F.col("n") / BUCKET_ROWS).cast("long").alias("buckets"))
@@ -111,7 +119,7 @@ def mix(
         for r in range(repeat):
             rank = F.struct(*[_finish(F.lit(r)) if c == "finish" else F.lit(r) if c == "round" else F.col(c) for c in RANK])
             times += F.when((F.col("size") > 0) & (rank <= last), 1).otherwise(0)
-    return queued.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * times).cast("long").alias("taken"))
+    return queued.select("doc_id", "source", "size", "tie", "source_size", "target", (F.col("size") * times).cast("long").alias("taken"))
 
 
 #: The order in which the queue is served.

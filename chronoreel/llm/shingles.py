@@ -1,4 +1,9 @@
-"""Near-duplicates by exact shingle similarity: every pair of a Jaccard similarity or more, without a radius.
+"""Near-duplicates by SimHash and exact shingle similarity: every link of a Jaccard similarity or more counts.
+
+SimHash trees come first: fingerprints within a few bits, linked as a forest, and each link
+checked on the whole sets. That gathers large groups of near copies by few links. As no
+radius holds every pair (README), a join by shared shingles finds the rest, first of each
+set with the least of those that share a shingle, then of sets that are still apart.
 
 A shared order of shingles, frequent ones last, makes candidates complete: two sets of the
 wanted similarity share a shingle within the first part of each (all but what the overlap
@@ -15,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoreel.llm.common import as_bytes, components, cut, hash_words, mix64, split_words
+from chronoreel.llm.common import as_bytes, components, cut, drop, hash_words, mix64, split_words
+from chronoreel.llm.simhash import fingerprint, hamming_links
 
 #: Texts that frequent shingles are told from, in how many of them one is frequent, and how many are told apart.
 SAMPLE, OFTEN, MOST = 10_000, 3, 100_000
@@ -80,13 +86,40 @@ def name_rows(docs: DataFrame, shingle: int = 5, text_col: str = "text") -> Data
     return docs.mapInArrow(run, docs.selectExpr("*", "cast(0 as long) AS node").schema)
 
 
-def similar(docs: DataFrame, shingle: int = 5, similarity: Fraction = Fraction(4, 5), text_col: str = "text") -> DataFrame:
-    """``a, b``: names of every two sets among the texts with a Jaccard similarity of ``similarity`` or more."""
+def links(docs: DataFrame, shingle: int = 5, similarity: Fraction = Fraction(4, 5), radius: int = 4, text_col: str = "text") -> DataFrame:
+    """``a, b``: links between names of sets among the texts, each of a Jaccard similarity of ``similarity`` or more.
+
+    Any two sets of that similarity are joined by links, directly or by way of others; links within a group are left out.
+    """
     spark = docs.sparkSession
     p, q = similarity.numerator, similarity.denominator
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     n_texts = texts.count()
 
+    def whole(batches):
+        for b in batches:
+            for i, j, t in _pieces(b.column(1)):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), _binaries(*shingle_sets(t, shingle))], ["node", "shingles"])
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that are similar; only the sets that stand in pairs are made again, from one text each."""
+        wanted = pairs.selectExpr("a AS node").union(pairs.selectExpr("b")).distinct()
+        one = name_rows(texts, shingle).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+        sets = cut(one.mapInArrow(whole, "node long, shingles binary"), "sets")
+        both = pairs.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b").select("a", "b", "of_a", "of_b")
+        out = cut(both.mapInArrow(check, "a long, b long"), "similar")
+        drop(sets)
+        return out
+
+    def check(batches):
+        for b in batches:
+            good = []
+            for x, y in zip(b.column("of_a"), b.column("of_b"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(shared * q >= p * (len(x) + len(y) - shared))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
     def list_shingles(batches):
         for b in batches:
             for _, _, t in _pieces(b.column(0)):
@@ -101,6 +134,7 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: Fraction = Fraction(4
         for b in batches:
             for _, _, t in _pieces(b.column(0)):
                 h, n = shingle_sets(t, shingle)
+                fp = np.fromiter((fingerprint(x, shingle) for x in t), np.uint64, len(t))
                 doc = np.repeat(np.arange(len(n)), n)
                 late = np.zeros(len(h), np.int64)
                 if len(hot):
@@ -110,10 +144,19 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: Fraction = Fraction(4
                 pos = np.arange(len(h)) - (np.cumsum(n) - n)[doc]
                 keep = np.where(n > 0, n - -(-n * p // q) + 1, 0)
                 first = order[pos < keep[doc]]
-                yield pa.RecordBatch.from_arrays([pa.array(set_names(h, n)), pa.array(n.astype(np.int32)), _binaries(h[first], keep)], ["node", "n", "prefix"])
+                yield pa.RecordBatch.from_arrays([pa.array(set_names(h, n)), pa.array(fp.view(np.int64)), pa.array(n.astype(np.int32)), _binaries(h[first], keep)], ["node", "fp", "n", "prefix"])
+
+    # texts with one set may differ in a repeat, and so in their fingerprint: the least stands for the set
+    own = texts.mapInArrow(prefixes, "node long, fp long, n int, prefix binary").where("n > 0")
+    nodes = cut(own.groupBy("node").agg(F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "prefixes")
+
+    # by SimHash: a forest of links between fingerprints, and of each fingerprint's sets to the least of them
+    of_fp = nodes.groupBy("fp").agg(F.min("node").alias("a"))
+    trees = hamming_links(cut(of_fp.select("fp"), "fingerprints"), radius)
+    near = trees.join(of_fp.toDF("a", "x"), "a").join(of_fp.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    same = nodes.select("node", "fp").join(of_fp, "fp").where("node <> a").select("a", F.col("node").alias("b"))
+    found = checked(cut(near.union(same).distinct(), "pairs"))
 
-    own = texts.mapInArrow(prefixes, "node long, n int, prefix binary").where("n > 0")
-    nodes = cut(own.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")), "prefixes")
     entries = nodes.agg(F.sum(F.length("prefix"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), entries // 8 // BUCKET)
 
@@ -126,53 +169,63 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: Fraction = Fraction(4
             for i in range(0, len(h), 500_000):
                 s = slice(i, i + 500_000)
                 take = pa.array(row[s])
-                columns = [pa.array((mix64(h[s], 11) % np.uint64(buckets)).astype(np.int32)), pa.array(h[s].view(np.int64)), b.column("node").take(take), b.column("n").take(take), pa.array(pos[s].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["bucket", "shingle", "node", "n", "pos"])
+                columns = [b.column("root").take(take), pa.array((mix64(h[s], 11) % np.uint64(buckets)).astype(np.int32)), pa.array(h[s].view(np.int64)), b.column("node").take(take), b.column("n").take(take), pa.array(pos[s].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["root", "bucket", "shingle", "node", "n", "pos"])
 
-    def pair(key, t):
-        s, node, n, pos = (t.column(c).to_numpy() for c in ("shingle", "node", "n", "pos"))
+    def sorted_entries(t):
+        s, root, n, node, pos = (t.column(c).to_numpy() for c in ("shingle", "root", "n", "node", "pos"))
         order = np.lexsort((node, n, s))
-        s, node, n, pos = s[order], node[order], n[order].astype(np.int64), pos[order]
-        live, d, out = np.arange(len(s)), 1, []
-        while True:
+        return s[order], root[order], n[order].astype(np.int64), node[order], pos[order].astype(np.int64)
+
+    def fits(n, pos, a, b):
+        """Whether two entries of one shingle may belong to sets similar enough, by their sizes and what is left of them."""
+        reach = np.minimum(n[a] - pos[a], n[b] - pos[b])
+        return (np.minimum(n[a], n[b]) * q >= np.maximum(n[a], n[b]) * p) & (reach * (p + q) >= p * (n[a] + n[b]))
+
+    def unique(parts):
+        found = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *parts]), axis=0)
+        return pa.table({"a": found[:, 0], "b": found[:, 1]})
+
+    def stars(key, t):
+        """Each set with the one before it in size and with the middle one among those of its shingle: no more pairs than twice the entries."""
+        s, root, n, node, pos = sorted_entries(t)
+        new = np.concatenate((np.ones(min(1, len(s)), bool), s[1:] != s[:-1]))
+        begin = np.flatnonzero(new)
+        size = np.diff(begin, append=len(s))
+        every = np.arange(len(s))
+        out = []
+        for hub in (np.repeat(begin + size // 2, size), np.where(new, every, every - 1)):
+            some = np.flatnonzero((root != root[hub]) & fits(n, pos, every, hub))
+            x, y = node[some], node[hub[some]]
+            out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+        return unique(out)
+
+    def rest(key, t):
+        """All sets of a shingle that are in different groups: groups one after another, each against those behind it."""
+        s, root, n, node, pos = sorted_entries(t)
+        live, d, out, held = np.arange(len(s)), 1, [], 0
+        while len(live):
             live = live[live + d < len(s)]
             # the larger set comes later, so a pair too uneven ends its row
             live = live[(s[live] == s[live + d]) & (n[live] * q >= n[live + d] * p)]
-            if not len(live):
-                break
-            a, b = live, live + d
-            reach = np.minimum(n[a] - pos[a], n[b] - pos[b])
-            good = reach * (p + q) >= p * (n[a] + n[b])
-            x, y = node[a[good]], node[b[good]]
+            a = live[root[live] != root[live + d]]
+            a = a[fits(n, pos, a, a + d)]
+            x, y = node[a], node[a + d]
             out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+            held += len(a)
+            if held > 2_000_000:
+                out, held = [np.unique(np.concatenate(out), axis=0)], 0
             d += 1
-        found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pa.table({"a": found[:, 0], "b": found[:, 1]})
-
-    placed = nodes.mapInArrow(spread, "bucket int, shingle long, node long, n int, pos int")
-    pairs = cut(placed.groupBy("bucket").applyInArrow(pair, "a long, b long").distinct(), "candidates")
-    wanted = pairs.selectExpr("a AS node").union(pairs.selectExpr("b")).distinct()
-
-    def whole(batches):
-        for b in batches:
-            for _, _, t in _pieces(b.column(0)):
-                h, n = shingle_sets(t, shingle)
-                yield pa.RecordBatch.from_arrays([pa.array(set_names(h, n)), _binaries(h, n)], ["node", "shingles"])
-
-    sets = texts.mapInArrow(whole, "node long, shingles binary").join(wanted, "node", "left_semi")
-    sets = cut(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
-    both = pairs.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b")
-
-    def check(batches):
-        for b in batches:
-            good = []
-            for x, y in zip(b.column("of_a"), b.column("of_b"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(shared * q >= p * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+        return unique(out)
 
-    return both.select("a", "b", "of_a", "of_b").mapInArrow(check, "a long, b long")
+    for pair in (stars, rest):
+        roots = components(found).withColumnRenamed("root", "of")
+        rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("of", "node")).select("node", "n", "prefix", "root")
+        placed = rooted.mapInArrow(spread, "root long, bucket int, shingle long, node long, n int, pos int")
+        pairs = cut(placed.groupBy("bucket").applyInArrow(pair, "a long, b long").distinct(), "pairs")
+        found = cut(found.union(checked(pairs)), "links")
+    drop(nodes)
+    return found
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: Fraction = Fraction(4, 5), text_col: str = "text") -> DataFrame:
@@ -180,6 +233,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: Fraction = Fr
 
     Texts are sets of shingles of words, A-Z in lower case. Texts without words are alike. Null text is empty text.
     """
-    roots = components(similar(docs, shingle, similarity, text_col)).withColumnRenamed("root", "component")
+    roots = components(links(docs, shingle, similarity, text_col=text_col)).withColumnRenamed("root", "component")
     rows = name_rows(docs, shingle, text_col).join(roots, "node", "left")
     return rows.withColumn("component", F.coalesce("component", "node")).drop("node")

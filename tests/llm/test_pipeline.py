@@ -3,9 +3,9 @@ import hashlib
 import corpus_pipeline as cp
 from chronoreel.llm import langid, spm
 
-from .helpers import components, documents, edge_docs
+from .helpers import documents, edge_docs
 from .test_mixing import brute as brute_mix
-from .test_simhash import plain
+from .test_shingles import groups
 from .test_substring import brute as brute_substring
 
 
@@ -19,11 +19,10 @@ def test_run_against_plain_stages(spark, sf):
             if p.max() >= model.accept:
                 keep.append(d)
     assert len(keep) >= 0.98 * len(docs)
-    fps = {d[0]: plain(d[1], 5) for d in keep}
-    ids = sorted(fps)
-    group = components(ids, [(a, b) for i, a in enumerate(ids) for b in ids[:i] if (fps[a] ^ fps[b]).bit_count() <= 4])
-    keep = [d for d in keep if group[d[0]] == d[0]]
-    assert len(keep) < len(ids)
+    group = groups(keep)
+    once = [d for d in keep if group[d[0]] == d[0]]
+    assert len(once) < len(keep)
+    keep = once
     removed = {r[0]: r for r in brute_substring([d[:2] for d in keep])}
     rows = [(d[0], d[3], removed[d[0]][1] - removed[d[0]][2]) for d in keep if removed[d[0]][2] < removed[d[0]][1] or not removed[d[0]][1]]
     mixed = brute_mix(rows)
@@ -51,3 +50,10 @@ def test_stages_on_edge_rows(spark):
         assert stage(spark, edge_docs(spark, []), "").count() == 0
     near = cp.simhash_near_dedup(spark, docs, "").collect()
     assert sorted(r.doc_id for r in near if r.doc_id) == [1, 3, 5, 7, 9]
+
+
+def test_mix_tells_rows_of_one_id_apart(spark):
+    rows = [(1, "w " * 10, "en", "a", 1), (1, "v " * 1_000, "en", "a", 1), (2, "u " * 10, "en", "b", 1), (None, "t " * 5, "en", None, 1)]
+    got = cp.mix_sources(spark, edge_docs(spark, rows), "").collect()
+    words = sum(len(r.text.split()) for r in got)
+    assert words <= 1.5 * 1_025 and all(sum(x.text == r.text for x in got) <= 2 for r in got)

@@ -66,4 +66,16 @@ def test_sets_and_other_similarities(spark):
     names = shingles.set_names(h, n).tolist()
     assert names[0] == names[1] == 0 and names[2] == names[3] and len(set(names)) == 4
     df = spark.createDataFrame([(" ".join("abcdefghij"[:k]),) for k in range(5, 11)], "text string")
-    assert shingles.similar(df, similarity=Fraction(1, 2)).count() == sum(2 * a >= b for a, b in combinations(range(1, 7), 2))
+    found = {tuple(sorted((r.a, r.b))) for r in shingles.links(df, similarity=Fraction(1, 2)).collect()}
+    names = shingles.set_names(*shingles.shingle_sets([" ".join("abcdefghij"[:k]).encode() for k in range(5, 11)])).tolist()
+    alike = [(names[a - 1], names[b - 1]) for a, b in combinations(range(1, 7), 2) if 2 * a >= b]
+    assert found <= {tuple(sorted(x)) for x in alike} and components(names, found) == components(names, alike)
+
+
+def test_a_large_group_of_near_copies_makes_few_pairs(spark):
+    """Each copy has a word of its own; no more links than a few for each."""
+    base = [f"w{i}" for i in range(300)]
+    rows = [(" ".join([*base[: i % 290], f"own{i}", *base[i % 290 + 1 :]]),) for i in range(400)]
+    found = shingles.links(spark.createDataFrame(rows, "text string").repartition(4))
+    assert found.count() < 1_600 and len({x for r in found.collect() for x in (r.a, r.b)}) == 400
+    assert len(set(components(*[list({x for r in found.collect() for x in (r.a, r.b)}), [(r.a, r.b) for r in found.collect()]]).values())) == 1
