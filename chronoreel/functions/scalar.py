@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import struct
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The byte that each packet of a transport stream begins with, and its length.
+SYNC, PACKET = 0x47, 188
+
 #: Elementary stream types; fixed values.
 STREAM_TYPES = (
     (0x01, "MPEG-1 Video", False),
@@ -55,11 +61,28 @@ def fixed(x: Column, n: int) -> Column:
 
 
 def absolute_url(rel: Column, base: Column) -> Column:
-    """``rel`` against ``base``: absolute as it is, from the root with a leading slash, else beside the base."""
-    root = F.regexp_extract(base, r"^(https?://[^/]+)", 1)
-    folder = F.regexp_replace(F.regexp_replace(base, r"[?#].*$", ""), r"[^/]*$", "")
-    plain = F.regexp_replace(rel, r"^(\./)+", "")
-    return F.when(rel.rlike("^https?://"), rel).when(rel.startswith("/"), F.concat(root, rel)).otherwise(F.concat(folder, plain))
+    """``rel`` against ``base``, as URLs resolve: from a scheme, a host, the root, a query or beside the base; dots in the path are worked off."""
+    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
+    root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    whole = F.regexp_replace(base, r"#.*$", "")
+    plain = F.regexp_replace(whole, r"\?.*$", "")
+    folder = F.when(plain == root, F.concat(root, F.lit("/"))).otherwise(F.regexp_replace(plain, r"[^/]*$", ""))
+    found = (
+        F.when(rel.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), rel)
+        .when(rel.startswith("//"), F.concat(scheme, rel))
+        .when(rel.startswith("/"), F.concat(root, rel))
+        .when(rel.startswith("?"), F.concat(plain, rel))
+        .when(rel.startswith("#") | (rel == ""), F.concat(whole, rel))
+        .otherwise(F.concat(folder, rel))
+    )
+    shape = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)(/[^?#]*)(.*)$"
+    part = lambda i: F.regexp_extract(found, shape, i)
+    steps = F.split(F.substring(part(2), 2, 1 << 30), "/")
+    step = lambda kept, x: F.when(x == ".", kept).when(x == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.concat(kept, F.array(x)))
+    kept = F.aggregate(steps, F.array().cast("array<string>"), step)
+    open_end = F.element_at(steps, -1).isin(".", "..") & (F.size(kept) > 0)
+    path = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(open_end, "/").otherwise(""))
+    return F.when(part(2).rlike(r"/\.\.?(/|$)"), F.concat(part(1), path, part(3))).otherwise(found)
 
 
 def quality_name(resolution: Column, bandwidth: Column) -> Column:
@@ -83,15 +106,28 @@ def is_sync(flags: Column) -> Column:
     return flags.isNull() | (F.shiftright(flags, 16).bitwiseAND(F.lit(1)) == 0)
 
 
+def format_of(data: bytes | None) -> str:
+    """``mpegts``, ``mp4``, ``fmp4`` or ``unknown``, in this order: by the sync byte, first or twice a packet apart, and the types of the boxes at the top."""
+    data = data or b""
+    if len(data) >= 4 and (data[0] == SYNC or any(data[i] == SYNC == data[i + PACKET] for i in range(min(PACKET, max(0, len(data) - PACKET))))):
+        return "mpegts"
+    first, kinds, at = data[4:8], set(), 0
+    while at + 8 <= len(data):
+        size, kind = struct.unpack_from(">I4s", data, at)
+        if size < 8:
+            break
+        kinds.add(kind)
+        at += size
+    if len(data) >= 12 and first == b"ftyp" and b"moov" in kinds and b"moof" not in kinds:
+        return "mp4"
+    return "fmp4" if first in (b"ftyp", b"styp", b"moof") else "unknown"
+
+
 def media_format(content: Column) -> Column:
-    """``mpegts``, ``mp4``, ``fmp4`` or ``unknown``, in this order, from the first bytes and the types of boxes at the top."""
-    first = F.decode(F.substring(content, F.lit(5), F.lit(4)), "ISO-8859-1")
-    text = F.decode(content, "ISO-8859-1")
-    has = lambda t: F.instr(text, t) > 0
-    long = F.length(content)
-    return (
-        F.when((long >= 4) & (F.substring(content, F.lit(1), F.lit(1)) == F.lit(b"\x47")), "mpegts")
-        .when((long >= 8) & (first == "ftyp") & has("moov") & ~has("moof"), "mp4")
-        .when((long >= 8) & first.isin("ftyp", "styp", "moof"), "fmp4")
-        .otherwise("unknown")
-    )
+    """``format_of`` each file's bytes, a batch at a time."""
+
+    @F.pandas_udf("string")
+    def run(files: pd.Series) -> pd.Series:
+        return files.map(format_of)
+
+    return run(content)

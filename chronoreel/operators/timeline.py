@@ -257,14 +257,17 @@ def overlap(intervals: DataFrame, ranges: DataFrame, start: str = "start", end:
     return intervals.join(F.broadcast(ranges), (F.col(end) > s) & (e.isNull() | (F.col(start) < e)))
 
 
-def as_of(points: DataFrame, steps: DataFrame, keys: list[str], time: str, start: str, value: str) -> DataFrame:
-    """Each point with the last step not after it, one shuffle: both sorted together and filled forward. The first step if none."""
-    w = Window.partitionBy(*keys).orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, 0)
+def as_of(points: DataFrame, steps: DataFrame, keys: list[str], time: str, start: str, value: str, none=-1) -> DataFrame:
+    """Each point with the last step not after it, one shuffle: both sorted together and filled forward.
+
+    Of steps that start together the last is the one of the largest ``value``. The first step where all are later, ``none`` where there is no step.
+    """
+    w = Window.partitionBy(*keys).orderBy("_t", "_k", "_v").rowsBetween(Window.unboundedPreceding, 0)
     a = steps.select(*keys, F.col(start).alias("_t"), F.lit(0).alias("_k"), F.col(value).alias("_v"))
     b = points.select(*keys, F.col(time).alias("_t"), F.lit(1).alias("_k"), F.lit(None).cast(steps.schema[value].dataType).alias("_v"), F.struct(*points.columns).alias("_p"))
-    first = F.min_by("_v", F.when(F.col("_k") == 0, F.col("_t"))).over(Window.partitionBy(*keys))
+    first = F.min(F.when(F.col("_k") == 0, F.struct("_t", "_v"))).over(Window.partitionBy(*keys))["_v"]
     both = a.withColumn("_p", F.lit(None).cast(b.schema["_p"].dataType)).unionByName(b)
-    return both.withColumn("_f", F.coalesce(F.last("_v", True).over(w), first)).where("_k = 1").select("_p.*", F.col("_f").alias(value))
+    return both.withColumn("_f", F.coalesce(F.last("_v", True).over(w), first, F.lit(none).cast(steps.schema[value].dataType))).where("_k = 1").select("_p.*", F.col("_f").alias(value))
 
 
 def nearest(points: DataFrame, segments: DataFrame, keys: list[str], time: str = "t") -> DataFrame:
@@ -277,9 +280,9 @@ def nearest(points: DataFrame, segments: DataFrame, keys: list[str], time: str =
     a = segments.select(*keys, mid.alias("_t"), F.lit(0).alias("_k"), side.alias("_s"))
     b = points.select(*keys, F.col(time).alias("_t"), F.lit(1).alias("_k"), F.lit(None).cast(a.schema["_s"].dataType).alias("_s"), F.struct(*points.columns).alias("_p"))
     both = a.withColumn("_p", F.lit(None).cast(b.schema["_p"].dataType)).unionByName(b)
-    w = Window.partitionBy(*keys).orderBy("_t", "_k")
-    low = F.last("_s", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    high = F.first("_s", True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    w = Window.partitionBy(*keys)
+    low = F.last("_s", True).over(w.orderBy("_t", "_k", F.desc("_s.i")).rowsBetween(Window.unboundedPreceding, 0))
+    high = F.first("_s", True).over(w.orderBy("_t", "_k", "_s.i").rowsBetween(0, Window.unboundedFollowing))
     out = both.withColumns({"_l": low, "_h": high}).where("_k = 1")
     up = (F.col("_h.m") - F.col("_t")) < (F.col("_t") - F.col("_l.m"))
     pick = F.when(F.col("_l").isNull() | (F.col("_h").isNotNull() & up), F.col("_h.i")).otherwise(F.col("_l.i"))

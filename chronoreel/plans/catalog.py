@@ -451,14 +451,37 @@ def s02_output_names(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", sc.output_name(F.concat("url", F.lit("/a.ts?x=1"))).alias("name"))
 
 
-@register("s27_media_format", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'mpegts' WHEN 1 THEN 'mp4' WHEN 2 THEN 'fmp4' WHEN 3 THEN 'fmp4' ELSE 'unknown' END AS format FROM documents")
+@register(
+    "s27_media_format",
+    "SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'mpegts' WHEN 1 THEN 'mp4' WHEN 2 THEN 'fmp4' WHEN 3 THEN 'fmp4' WHEN 5 THEN 'mpegts' WHEN 6 THEN 'mp4' WHEN 7 THEN 'fmp4' ELSE 'unknown' END AS format FROM documents",
+)
 def s27_media_format(spark, d):
-    box = lambda t: b"\0\0\0\x08" + t
-    heads = [b"\x47\x40\0\x10", box(b"ftyp") + box(b"moov"), box(b"ftyp") + box(b"moov") + box(b"moof"), box(b"moof"), b"#####"]
-    head = F.element_at(F.array(*map(F.lit, heads)), (F.col("doc_id") % 5 + 1).cast("int"))
+    box = lambda t, body=b"": (8 + len(body)).to_bytes(4, "big") + t + body
+    heads = [
+        b"\x47\x40\0\x10", box(b"ftyp") + box(b"moov"), box(b"ftyp") + box(b"moov") + box(b"moof"), box(b"moof"), b"#####",
+        b"junk" + (b"\x47" + bytes(187)) * 2, box(b"ftyp") + box(b"mdat", b"moof") + box(b"moov"), box(b"ftyp", b"moov"),
+    ]
+    head = F.element_at(F.array(*map(F.lit, heads)), (F.col("doc_id") % 8 + 1).cast("int"))
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", sc.media_format(head).alias("format"))
 
 
+#: Relative and whole addresses, and what each is beside ``http://h/a/<id>/p.m3u8?q=/z``.
+URLS = [
+    ("../x.ts", "http://h/a/x.ts"), ("./s/./y.ts", "http://h/a/{}/s/y.ts"), ("//cdn/x.ts", "http://cdn/x.ts"), ("?k=1", "http://h/a/{}/p.m3u8?k=1"),
+    ("/r/../y.ts", "http://h/y.ts"), ("https://o/z.ts", "https://o/z.ts"), ("../../../x/..", "http://h/"), ("s.ts?u=../v", "http://h/a/{}/s.ts?u=../v"),
+]
+
+
+@register(
+    "c05_absolute_url",
+    "SELECT doc_id, CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN replace('{u}', '{{}}', CAST(doc_id AS VARCHAR))" for i, (_, u) in enumerate(URLS)) + " END AS url FROM documents",
+)
+def c05_absolute_url(spark, d):
+    rel = F.element_at(F.array(*[F.lit(r) for r, _ in URLS]), (F.col("doc_id") % 8 + 1).cast("int"))
+    base = F.concat(F.lit("http://h/a/"), F.col("doc_id").cast("string"), F.lit("/p.m3u8?q=/z"))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", sc.absolute_url(rel, base).alias("url"))
+
+
 # --- bytes written and read back -----------------------------------------------------------
 
 BYTES_CTE = """

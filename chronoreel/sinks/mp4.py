@@ -68,7 +68,7 @@ def sample_tables(samples: list[dict], length: list[int], offset: int) -> bytes:
     pairs = lambda kind, rows, code=">II": full_box(kind, 0, 0, struct.pack(">I", len(rows)), *(struct.pack(code, *r) for r in rows))
     shift = [s["pts"] - s["dts"] for s in samples]
     out = [pairs("stts", runs(length))]
-    if any(shift):
+    if any(shift) and len(samples) > 1:  # one sample can't be out of order, and an offset would put it beyond the track's end
         rows = runs(shift)
         out.append(full_box("ctts", 1 if min(shift) < 0 else 0, 0, struct.pack(">I", len(rows)), *(struct.pack(">Ii" if min(shift) < 0 else ">II", *r) for r in rows)))
     keys = [i + 1 for i, s in enumerate(samples) if s["is_key"]]

@@ -65,6 +65,12 @@ def test_mp4_boxes_and_edges():
     assert t["duration"] == 30 + 3003
 
 
+def test_a_single_picture_has_no_offsets():
+    one = [{"dts": 0, "pts": 9000, "is_key": True, "data": b"x"}]
+    assert b"ctts" not in mp4_sink.sample_tables(one, [3003], 0)
+    assert b"ctts" in mp4_sink.sample_tables([*one, {"dts": 5, "pts": 5, "is_key": False, "data": b"y"}], [5, 5], 0)
+
+
 def test_bad_file_is_an_error_row(spark):
     files = spark.createDataFrame([("a", b"nothing"), ("b", None)], "file string, content binary")
     assert {r.error for r in mpegts.units(files).collect()} == {"no PAT found"}

@@ -16,7 +16,15 @@ def test_frame_pick(spark):
     points = spark.createDataFrame([(1, -1), (1, 0), (1, 1500), (1, 3000), (1, 14_999), (1, 9_000_000)], "f int, t long")
     got = tl.as_of(points, frames, ["f"], "t", "start", "frame").orderBy("t").collect()
     assert [r.frame for r in got] == [0, 0, 0, 1, 4, 6]
-    assert tl.as_of(points, frames.limit(0), ["f"], "t", "start", "frame").where("frame IS NOT NULL").count() == 0
+    assert {r.frame for r in tl.as_of(points, frames.limit(0), ["f"], "t", "start", "frame").collect()} == {-1}
+    tied = spark.createDataFrame([(1, 0, 2), (1, 0, 0), (1, 0, 1), (1, 50, 3)], "f int, start long, frame long").repartition(3)
+    assert [r.frame for r in tl.as_of(points, tied, ["f"], "t", "start", "frame").orderBy("t").collect()][:2] == [0, 2]
+
+
+def test_nearest_takes_the_first_of_equal_middles(spark):
+    segments = spark.createDataFrame([(1, 0, 0.0, 10.0), (1, 1, 4.0, 2.0), (1, 2, 5.0, 0.0), (1, 3, 10.0, 10.0), (1, 4, 14.0, 2.0)], "f int, idx long, start double, duration double").repartition(3)
+    points = spark.createDataFrame([(1, 0.0), (1, 5.0), (1, 9.0), (1, 10.0), (1, 11.0), (1, 99.0)], "f int, t double")
+    assert [r.idx for r in tl.nearest(points, segments, ["f"]).orderBy("t").collect()] == [0, 0, 0, 0, 3, 3]
 
 
 def test_last_duration_rules(spark):
