@@ -54,6 +54,17 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Rows of text that a Python worker gets at once, at most.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session hold no more than BATCH_ROWS rows; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def collect_garbage(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that nobody holds any more."""
     import gc

@@ -87,7 +87,7 @@ def train(texts: list[bytes], labels: list[str], epochs: int = 6, rate: float =
     for t in texts:
         parts = [np.unique(b + (k << BUCKET_BITS), return_counts=True) for k, (b, _) in enumerate(subwords([t]))]
         at, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        features.append((at, (n / max(1, n.sum()))[:, None]))
+        features.append((at.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)[:, None]))  # the most of the driver's memory
     own = np.flatnonzero(~held)
     weight = (len(own) / len(languages)) / np.maximum(1, np.bincount(y[own], minlength=len(languages)))
     for epoch in range(epochs):
@@ -127,12 +127,14 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
         one = (F.col("label") == label) & part
         chosen = one if chosen is None else chosen | one
     found = sorted((r for r in rows.where(chosen).select(F.xxhash64("id").alias("h"), "id", "label", "text").collect()), key=lambda r: (r.h, r.id, r.text))
-    kept, taken = [], dict.fromkeys(counts, 0)
+    texts, labels, taken = [], [], dict.fromkeys(counts, 0)
     for r in found:
         if taken[r.label] < per_language and has_letter(r.text):
             taken[r.label] += 1
-            kept.append(r)
-    return train([r.text.encode() for r in kept], [r.label for r in kept]) if kept else None
+            texts.append(r.text.encode())
+            labels.append(r.label)
+    del found
+    return train(texts, labels) if texts else None
 
 
 def has_letter(text: str | None) -> bool:

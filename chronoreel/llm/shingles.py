@@ -26,7 +26,7 @@ from chronoreel.llm.simhash import fingerprint, hamming_links
 #: Texts that frequent shingles are told from, in how many of them one is frequent, and how many are told apart.
 SAMPLE, OFTEN, MOST = 10_000, 3, 100_000
 #: Bytes of text worked on at once, and prefix entries wanted in a bucket.
-PIECE, BUCKET = 4_000_000, 500_000
+PIECE, BUCKET = 2_000_000, 400_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
