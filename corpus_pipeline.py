@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoreel.llm import langid, mixing, shingles, spm, substring
-from chronoreel.llm.common import cut
+from chronoreel.llm.common import cut, small_batches
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -17,6 +17,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The whole text decides, however long. Rows of equal text share their fate, repeated and null
     ids keep a row each, other columns than a document's are left out. An empty table stays empty.
     """
+    small_batches(spark)
     model = langid.learn(docs)
     return langid.identify(docs.select(*COLUMNS), model).where("accepted").select(*COLUMNS)
 
@@ -28,6 +29,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     sets. Null and empty texts and texts of white space are one group. Rows that share an id are
     rows of their own; ties go to the least text. An empty table stays empty.
     """
+    small_batches(spark)
     groups = shingles.near_duplicates(docs.select(*COLUMNS))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), *COLUMNS)).alias("r")
     return groups.groupBy("component").agg(least).select(*[f"r.{c}" for c in COLUMNS])
@@ -39,6 +41,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null and empty texts stay as they are, so do rows with a null id; rows of equal ids are not
     earlier than each other. An empty table stays empty.
     """
+    small_batches(spark)
     found = substring.remove_repeats(docs, 50, keep=("lang", "source", "n_chars"))
     kept = found.where("n_removed < n_words OR n_words = 0")
     length = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars"))
@@ -63,6 +66,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text, with a digest of what they decode to; null text is empty, every row stays, an empty table stays empty."""
+    small_batches(spark)
     found = spm.round_trip(docs.select("doc_id", "source", "text"))
     return found.select("doc_id", "source", "n_tokens", "ids", F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
