@@ -8,6 +8,8 @@ sub-vector, and the best of each cell are scored again on the original vectors.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -76,18 +78,70 @@ def search(
 
     ``is_query`` is SQL over ``vec_id``. ``probe`` is the part of the cells that a query
     visits and ``rerank`` how many of a cell's best codes are scored on the original
-    vectors. Null, zero and non-finite vectors and null ids take no part, nor do vectors of
-    another length than most. A query's own id is no candidate. Repeated ids are rows of their own.
+    vectors. Null, zero and non-finite vectors and null ids take no part. Vectors meet those of
+    their own length: lengths of more than PART vectors have an index each, the others are compared
+    one with all. A query's own id is no candidate. Repeated ids are rows of their own: as
+    candidates each counts, as queries each different vector has its own ranks.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.where(f"vec_id IS NOT NULL AND {valid('v')}")
-    sizes = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    if sizes is None:
+    rows = cut(rows.withColumn("dim", F.size("v")), "vectors")
+    sizes = {r[0]: r[1] for r in rows.groupBy("dim").count().collect()}  # one row a length
+    found = [_indexed(rows.where(F.col("dim") == d).select("vec_id", "v"), n, is_query, k, probe, rerank, cells, parts) for d, n in sorted(sizes.items()) if n > PART or n == max(sizes.values())]
+    small = [d for d, n in sizes.items() if n <= PART and n < max(sizes.values())]
+    if small:
+        rest = rows.where(F.col("dim").isin(small))
+        both = rest.select("dim", F.lit(0).cast("long").alias("q"), "vec_id", "v", F.lit(False).alias("asks")).union(_queries(rest, is_query).select("dim", "q", "vec_id", "v", F.lit(True)))
+        found.append(both.groupBy("dim").applyInArrow(lambda key, t: _scan(t, lambda q, p: None, k, PART), FOUND))
+    if not found:
         return spark.createDataFrame([], schema)
-    rows = cut(rows.where(F.size("v") == sizes[0]), "vectors")
-    n = sizes[1]
+    first = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
+    return reduce(DataFrame.union, found).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+FOUND = "query_id long, q long, vec_id long, score double"
+
+
+def _queries(rows: DataFrame, is_query: str) -> DataFrame:
+    """Different query vectors, told apart by ``q`` where they share an id."""
+    return rows.where(is_query).dropDuplicates(["vec_id", "v"]).withColumn("q", F.xxhash64("v"))
+
+
+def _scan(t: pa.Table, distances, k: int, rerank: int) -> pa.Table:
+    """The best ``k`` among a group's points for each of its queries: by ``distances(queries, points)`` first, if it gives any, then exactly."""
+    asks, ids, x, key = t.column("asks").to_numpy(), t.column("vec_id").to_numpy(), as_matrix(t.column("v")), t.column("q").to_numpy()
+    p, q = np.flatnonzero(~asks), np.flatnonzero(asks)
+    p = p[ids[p].argsort(kind="stable")]
+    out = [[], [], [], []]
+    if len(p) and len(q):
+        u = unit(x)
+        measure = distances(u, p)
+        keep = min(len(p), max(rerank, k + 1))
+        step = max(1, 1_000_000 // len(p))
+        for i in range(0, len(q), step):
+            own = q[i : i + step]
+            if measure is None:
+                best = np.broadcast_to(np.arange(len(p)), (len(own), len(p)))
+                score = np.stack([cosine(x[[j]], x[p]) for j in own])
+            else:
+                d = measure(u[own])
+                d[ids[own][:, None] == ids[p][None, :]] = np.inf
+                best = d.argsort(axis=1, kind="stable")[:, :keep]
+                score = cosine(x[own][:, None, :], x[p][best])
+            score[ids[own][:, None] == ids[p][best]] = -np.inf
+            order = np.lexsort((ids[p][best], -score), axis=1)[:, :k]
+            take = lambda a: np.take_along_axis(a, order, axis=1).reshape(-1)  # noqa: B023, E731
+            for column, value in zip(out, (np.repeat(ids[own], order.shape[1]), np.repeat(key[own], order.shape[1]), take(ids[p][best]), take(score)), strict=True):
+                column.append(value)
+    a, r, b, s = (np.concatenate(o) if o else np.zeros(0, kind) for o, kind in zip(out, (np.int64, np.int64, np.int64, np.float64), strict=True))
+    real = np.isfinite(s)
+    return pa.table({"query_id": a[real], "q": r[real], "vec_id": b[real], "score": s[real]})
+
+
+def _indexed(rows: DataFrame, n: int, is_query: str, k: int, probe: float, rerank: int, cells: int | None, parts: int) -> DataFrame:
+    """Rows ``FOUND`` for vectors of one length, by an index of their own."""
     sample = rows.orderBy(F.xxhash64("vec_id", "v")).limit(FIT_SAMPLE).select("v").collect()
     sample = unit(np.array([r[0] for r in sample], np.float64))
     cells = cells or int(max(1, min(4096, round(np.sqrt(n) / 4), len(sample) // 8)))
@@ -116,42 +170,23 @@ def search(
             part = np.arange(len(at)) - np.repeat(np.cumsum(shares[cell]) - shares[cell], shares[cell])
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(at.astype(np.int32)), pa.array(part.astype(np.int32)), b.column("vec_id").take(take), b.column("v").take(take)], ["cell", "part", "vec_id", "v"]
+                [pa.array(at.astype(np.int32)), pa.array(part.astype(np.int32)), b.column("vec_id").take(take), b.column("v").take(take), b.column("q").take(take)], ["cell", "part", "vec_id", "v", "q"]
             )
 
     spread = F.element_at(F.array(*[F.lit(int(s)) for s in shares]), F.col("cell") + 1)
-    points = placed.select("cell", F.pmod(F.xxhash64("vec_id", "v"), spread).cast("int").alias("part"), "vec_id", "v", F.lit(False).alias("asks"))
-    asked = rows.where(is_query).mapInArrow(ask, "cell int, part int, vec_id long, v array<double>").withColumn("asks", F.lit(True))
+    points = placed.select("cell", F.pmod(F.xxhash64("vec_id", "v"), spread).cast("int").alias("part"), "vec_id", "v", F.lit(0).cast("long").alias("q"), F.lit(False).alias("asks"))
+    asked = _queries(rows, is_query).mapInArrow(ask, "cell int, part int, vec_id long, v array<double>, q long").withColumn("asks", F.lit(True))
 
     def scan(key, t):
-        asks, ids, x = t.column("asks").to_numpy(), t.column("vec_id").to_numpy(), as_matrix(t.column("v"))
-        cell, p, q = key[0].as_py(), np.flatnonzero(~asks), np.flatnonzero(asks)
-        p = p[ids[p].argsort(kind="stable")]
-        out = [[], [], []]
-        if len(p) and len(q):
-            u = unit(x)
+        cell = key[0].as_py()
+
+        def distances(u, p):
             codes = index.encode(u[p], np.full(len(p), cell))
-            keep = min(len(p), max(rerank, k + 1))
-            step = max(1, 1_000_000 // len(p))
-            for i in range(0, len(q), step):
-                own = q[i : i + step]
-                d = index.distances(u[own], cell, codes)
-                d[ids[own][:, None] == ids[p][None, :]] = np.inf
-                best = d.argsort(axis=1, kind="stable")[:, :keep]
-                score = cosine(x[own][:, None, :], x[p][best])
-                score[ids[own][:, None] == ids[p][best]] = -np.inf
-                order = np.lexsort((ids[p][best], -score), axis=1)[:, :k]
-                take = lambda a: np.take_along_axis(a, order, axis=1).reshape(-1)  # noqa: B023, E731
-                out[0].append(np.repeat(ids[own], order.shape[1]))
-                out[1].append(take(ids[p][best]))
-                out[2].append(take(score))
-        a, b, s = (np.concatenate(o) if o else np.zeros(0, kind) for o, kind in zip(out, (np.int64, np.int64, np.float64), strict=True))
-        real = np.isfinite(s)
-        return pa.table({"query_id": a[real], "vec_id": b[real], "score": s[real]})
-
-    found = points.unionByName(asked).groupBy("cell", "part").applyInArrow(scan, "query_id long, vec_id long, score double")
-    first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            return lambda own: index.distances(own, cell, codes)
+
+        return _scan(t, distances, k, rerank)
+
+    return points.unionByName(asked).groupBy("cell", "part").applyInArrow(scan, FOUND)
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -36,3 +36,19 @@ def test_copies_ties_and_odd_vectors(spark):
     assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == [(0, i + 1, v) for i, v in enumerate([3, 6, 9, 12, 15])] + [(50, i + 1, v) for i, v in enumerate([2, 5, 8, 11, 14])]
     assert ann.search(df.limit(0)).count() == 0
     assert ann.search(df.where("vec_id in (0, 1, 2)"), probe=1.0).count() == 2
+
+
+def test_other_lengths_and_repeated_queries(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(120)] + [(200 + i, rng.normal(size=4).tolist()) for i in range(60)]
+    rows += [(0, rows[0][1]), (50, rng.normal(size=6).tolist())]  # a query once more, and another vector under a query's id
+    got = {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), probe=1.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert {q: len(v) for q, v in got.items()} == {0: 5, 50: 10, 100: 5, 200: 5, 250: 5}
+    for n, at in ((6, range(120)), (4, range(120, 180))):
+        ids, x = np.array([rows[i][0] for i in at]), np.array([rows[i][1] for i in at])
+        for q, want in exact(ids, x, 5).items():
+            if q not in (0, 50, 100):
+                assert [v for _, v in got[q]] == want
+    assert len({v for _, v in got[0]}) == 5
