@@ -59,6 +59,9 @@ class Windows:
         self.upto = t.end
         if self.span and t.end - self.span[0].begin > self._room():
             yield self._close()
+        if self.number and not self.span:  # the oldest history goes until the turn fits
+            while self.past and t.end - t.begin > self._room():
+                self.past.pop(0)
         if t.begin == 0 and not self.span and self.number == 0 and role == "system":
             self.system = t
         self.span.append(t)
@@ -109,8 +112,8 @@ def format_windows(
 ) -> DataFrame:
     """One row a window: ``conv_id, window, text, loss, n_repeated, n_turns, n_tokens``.
 
-    ``loss`` are spans of code points of ``text``. A turn beyond the budget has a window of its
-    own, whole. Null roles and texts are empty, rows without a conversation are one
+    ``loss`` are spans of code points of ``text``. A window is over the budget only where the
+    system turn and one more are over it together; that turn has a window of its own, whole. Null roles and texts are empty, rows without a conversation are one
     conversation, rows of equal turn stand in order of role and text. A conversation is read
     as a sorted stream by one task, in memory no more than a window.
     """

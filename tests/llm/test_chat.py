@@ -37,8 +37,9 @@ def test_windows_keep_to_the_budget(spark):
     system = {}
     for w in windows:
         turns = chat.read_turns(w.text)
-        assert len(turns) == w.n_turns and (w.n_tokens <= 120 or w.n_turns - w.n_repeated == 1)
         system.setdefault(w.conv_id, turns[0])
+        alone = w.n_repeated == int(w.window > 0 and system[w.conv_id][0] == "system") and w.n_turns - w.n_repeated == 1
+        assert len(turns) == w.n_turns and (w.n_tokens <= 120 or alone)
         if w.window and system[w.conv_id][0] == "system":
             assert turns[0] == system[w.conv_id] and w.n_repeated >= 1
         new = [t for role, t in turns[w.n_repeated :] if role == "assistant"]
