@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -65,6 +67,19 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+#: What modules keep in a worker from task to task.
+KEPT: list[dict] = []
+
+
+def release() -> None:
+    """Give back what earlier tasks of this worker, of any operator, have kept. Results never depend on it."""
+    for kept in KEPT:
+        kept.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def collect_garbage(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that nobody holds any more."""
     import gc

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoreel.llm.common import as_bytes
+from chronoreel.llm.common import as_bytes, release
 
 #: Lengths of subwords in bytes, and buckets for each length.
 SIZES, BUCKET_BITS = (2, 3, 4), 15
@@ -153,6 +153,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     names = plain.columns
 
     def run(batches):
+        release()
         own = held.value
         for b in batches:
             column = b.column(names.index(text_col)).cast(pa.string())

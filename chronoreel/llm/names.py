@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoreel.llm.common import hash_words, mix64, split_words
+from chronoreel.llm.common import hash_words, mix64, release, split_words
 
 #: Bytes of text in a chunk (a longer text is a chunk of its own), and requests wanted in a bucket.
 CHUNK, BUCKET = 6_000_000, 3_000_000
@@ -79,6 +79,7 @@ def slices(sorted_keys: np.ndarray) -> list[tuple[int, int]]:
 
 def gather(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, pa.Table, list[bytes]]]:
     """(chunk, rows, texts): the rows of a task in order, about ``CHUNK`` bytes of text at a time; null text as empty."""
+    release()
     part, seq = TaskContext.get().partitionId() << 32, 0
     held, texts, size = [], [], 0
     for b in batches:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoreel.llm.common import as_bytes, components, cut, drop, hash_words, mix64, split_words
+from chronoreel.llm.common import as_bytes, components, cut, drop, hash_words, mix64, release, split_words
 from chronoreel.llm.simhash import fingerprint, hamming_links
 
 #: Texts that frequent shingles are told from, in how many of them one is frequent, and how many are told apart.
@@ -79,6 +79,7 @@ def name_rows(docs: DataFrame, shingle: int = 5, text_col: str = "text") -> Data
     at = names.index(text_col)
 
     def run(batches):
+        release()
         for b in batches:
             node = [set_names(*shingle_sets(t, shingle)) for _, _, t in _pieces(b.column(at))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(node) if node else np.zeros(0, np.int64))], [*names, "node"])
@@ -97,6 +98,7 @@ def links(docs: DataFrame, shingle: int = 5, similarity: Fraction = Fraction(4,
     n_texts = texts.count()
 
     def whole(batches):
+        release()
         for b in batches:
             for i, j, t in _pieces(b.column(1)):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), _binaries(*shingle_sets(t, shingle))], ["node", "shingles"])
@@ -121,6 +123,7 @@ def links(docs: DataFrame, shingle: int = 5, similarity: Fraction = Fraction(4,
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     def list_shingles(batches):
+        release()
         for b in batches:
             for _, _, t in _pieces(b.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(t, shingle)[0].view(np.int64))], ["shingle"])
@@ -131,6 +134,7 @@ def links(docs: DataFrame, shingle: int = 5, similarity: Fraction = Fraction(4,
     hot, rank = np.array([s for s, _ in often], np.uint64), np.array([c for _, c in often], np.int64)
 
     def prefixes(batches):
+        release()
         for b in batches:
             for _, _, t in _pieces(b.column(0)):
                 h, n = shingle_sets(t, shingle)

@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 
+from chronoreel.llm.common import KEPT
 from chronoreel.llm.ragged import Memo, packed
 
 MARK = "▁"
@@ -252,6 +253,7 @@ class Model:
 
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _LOADED: dict[str, tuple[Model, Memo]] = {}
+KEPT.append(_LOADED)
 
 
 def load(path: str) -> tuple[Model, Memo]:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoreel.llm.common import as_bytes, collect_garbage, cut, drop, shared_dir
+from chronoreel.llm.common import KEPT, as_bytes, collect_garbage, cut, drop, shared_dir
 from chronoreel.llm.names import squeeze, unsqueeze
 from chronoreel.llm.ragged import Memo, packed, pick
 
@@ -167,6 +167,7 @@ _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _ALPHABET = dict.fromkeys(_PRINTED) | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
 _ALPHABET = {b: b if c is None else c for b, c in _ALPHABET.items()}
 _LOADED: dict[str, Tokenization] = {}
+KEPT.append(_LOADED)
 
 
 def default_tokenizer() -> str:
