@@ -60,13 +60,19 @@ def _remove(spark: SparkSession, path: str) -> None:
 BATCH_ROWS = 1_000
 
 
+#: Bytes of a Parquet row group; each task that writes holds one on the heap.
+ROW_GROUP = 32 << 20
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of this session hold no more than BATCH_ROWS rows; a smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Arrow batches of this session hold no more than BATCH_ROWS rows, row groups no more than ROW_GROUP bytes; smaller settings stay."""
+    for key, most, now in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS, None), ("parquet.block.size", ROW_GROUP, "0")):
+        if not 0 < int(spark.conf.get(key, now) if now else spark.conf.get(key)) <= most:
+            spark.conf.set(key, str(most))
 
 
+#: Arrays of so many bytes get memory of their own, which goes back to the system with them.
+MAPPED = 1 << 20
 #: What modules keep in a worker from task to task.
 KEPT: list[dict] = []
 
@@ -76,7 +82,8 @@ def release() -> None:
     for kept in KEPT:
         kept.clear()
     pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have them
+        ctypes.CDLL(None).mallopt(-3, MAPPED)  # M_MMAP_THRESHOLD
         ctypes.CDLL(None).malloc_trim(0)
 
 
