@@ -240,3 +240,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: Fraction = Fr
     roots = components(links(docs, shingle, similarity, text_col=text_col)).withColumnRenamed("root", "component")
     rows = name_rows(docs, shingle, text_col).join(roots, "node", "left")
     return rows.withColumn("component", F.coalesce("component", "node")).drop("node")
+
+
+def least_rows(docs: DataFrame, id_col: str = "doc_id", shingle: int = 5, similarity: Fraction = Fraction(4, 5), text_col: str = "text") -> DataFrame:
+    """One row of each group of similar texts, the one with the least id, a null id last; ties go to the least row.
+
+    Rows meet by their set of shingles first; only what is left of sets that have links moves again.
+    """
+    names = docs.columns
+    least = F.min(F.struct(F.col(id_col).isNull().alias("nameless"), id_col, *[c for c in names if c != id_col])).alias("r")
+    roots = components(links(docs, shingle, similarity, text_col=text_col))
+    sets = name_rows(docs, shingle, text_col).groupBy("node").agg(least)
+    rooted = cut(sets.join(roots, "node", "left").select("root", "r"), "rooted")
+    linked = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("r").alias("r"))
+    return rooted.where("root IS NULL").select("r").union(linked.select("r")).select(*[f"r.{c}" for c in names])

@@ -30,9 +30,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     rows of their own; ties go to the least text. An empty table stays empty.
     """
     small_batches(spark)
-    groups = shingles.near_duplicates(docs.select(*COLUMNS))
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), *COLUMNS)).alias("r")
-    return groups.groupBy("component").agg(least).select(*[f"r.{c}" for c in COLUMNS])
+    return shingles.least_rows(docs.select(*COLUMNS))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

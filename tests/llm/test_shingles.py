@@ -79,3 +79,13 @@ def test_a_large_group_of_near_copies_makes_few_pairs(spark):
     found = shingles.links(spark.createDataFrame(rows, "text string").repartition(4))
     assert found.count() < 1_600 and len({x for r in found.collect() for x in (r.a, r.b)}) == 400
     assert len(set(components(*[list({x for r in found.collect() for x in (r.a, r.b)}), [(r.a, r.b) for r in found.collect()]]).values())) == 1
+
+
+def test_least_rows_are_one_of_each_group(spark):
+    long = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+    rows = [(3, long, "a"), (2, long.upper(), "b"), (None, long + " more", "c"), (5, None, None), (4, " ", "d"), (7, "other words here", "e"), (None, "alone", "f"), (7, "other words here", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, r string")
+    got = shingles.least_rows(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([rows[1], rows[4], rows[5], rows[6]], key=repr)
+    assert not shingles.least_rows(docs.limit(0)).collect()
