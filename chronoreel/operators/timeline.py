@@ -147,13 +147,17 @@ def bitrate(samples: DataFrame, keys: list[str], timescale: int = 90_000) -> Dat
     return samples.groupBy(*keys).agg(F.coalesce(F.floor(F.try_divide(bits, span.cast("double")) + 0.5).cast("long"), F.lit(0)).alias("bps"))
 
 
-def byte_ranges(samples: DataFrame, keys: list[str], gap: int = 65_536) -> DataFrame:
-    """``range_id, start, end, n``: samples whose bytes lie within ``gap`` of what came before are read together."""
+def in_byte_ranges(samples: DataFrame, keys: list[str], gap: int = 65_536) -> DataFrame:
+    """Samples with the ``range_id`` of the bytes that are read with theirs: those within ``gap`` of what came before."""
     w = Window.partitionBy(*keys).orderBy("offset", "idx")
     reach = F.max(F.col("offset") + F.col("size")).over(w.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(reach.isNull() | (F.col("offset") > reach + gap), 1).otherwise(0)
-    rows = samples.withColumn("_new", new).withColumn("range_id", F.sum("_new").over(w) - 1)
-    return rows.groupBy(*keys, "range_id").agg(F.min("offset").alias("start"), F.max(F.col("offset") + F.col("size")).alias("end"), F.count("*").alias("n"))
+    return samples.withColumn("_new", new).withColumn("range_id", F.sum("_new").over(w) - 1).drop("_new")
+
+
+def byte_ranges(samples: DataFrame, keys: list[str], gap: int = 65_536) -> DataFrame:
+    """``range_id, start, end, n``: the stretches of bytes that hold all samples."""
+    return in_byte_ranges(samples, keys, gap).groupBy(*keys, "range_id").agg(F.min("offset").alias("start"), F.max(F.col("offset") + F.col("size")).alias("end"), F.count("*").alias("n"))
 
 
 def build_segments(samples: DataFrame, keys: list[str], target: int = 360_000, include_tail: bool = False) -> DataFrame:
@@ -282,7 +286,8 @@ def nearest(points: DataFrame, segments: DataFrame, keys: list[str], time: str =
     both = a.withColumn("_p", F.lit(None).cast(b.schema["_p"].dataType)).unionByName(b)
     w = Window.partitionBy(*keys)
     low = F.last("_s", True).over(w.orderBy("_t", "_k", F.desc("_s.i")).rowsBetween(Window.unboundedPreceding, 0))
-    high = F.first("_s", True).over(w.orderBy("_t", "_k", "_s.i").rowsBetween(0, Window.unboundedFollowing))
+    # downwards, as a frame that ends at the last row is computed anew for each row
+    high = F.last("_s", True).over(w.orderBy(F.desc("_t"), F.desc("_k"), F.desc("_s.i")).rowsBetween(Window.unboundedPreceding, 0))
     out = both.withColumns({"_l": low, "_h": high}).where("_k = 1")
     up = (F.col("_h.m") - F.col("_t")) < (F.col("_t") - F.col("_l.m"))
     pick = F.when(F.col("_l").isNull() | (F.col("_h").isNotNull() & up), F.col("_h.i")).otherwise(F.col("_l.i"))

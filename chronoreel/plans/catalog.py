@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from chronoreel.functions import avc, registry
 from chronoreel.functions import scalar as sc
+from chronoreel.operators import clips
 from chronoreel.operators import timeline as tl
 from chronoreel.sinks import mp4 as mp4_sink
 from chronoreel.sinks import mpegts as ts_sink
@@ -555,3 +557,150 @@ def r07_ts_to_mp4(spark, d):
     rows = units.select("file", F.lit(256).cast("long").alias("track_id"), F.lit("vide").alias("handler"), "idx", "dts", "pts", "is_key", F.element_at("nals", 1).alias("data"))
     found = mp4_source.samples(mp4_sink.write(rows, timescale=1_000))
     return found.select("file", "idx", "dts", "size", "is_key")
+
+
+# --- clips of other tracks, bands, ranks and reshapes --------------------------------------
+
+
+@register(
+    "r03_clip_other",
+    TIMELINE_CTE
+    + RANGES_CTE
+    + """, f AS (SELECT track, rid, coalesce(s, 0) AS s, e, min(idx) FILTER (pts >= coalesce(s, 0)) AS first, max(idx) + 1 AS n FROM timeline, ranges GROUP BY track, rid, s, e),
+b AS (SELECT f.track, f.rid, f.s, f.e, first, coalesce(min(t.idx) FILTER (t.idx >= first AND t.pts >= f.e), n) AS stop FROM f JOIN timeline t USING (track) WHERE first IS NOT NULL GROUP BY f.track, f.rid, f.s, f.e, first, n),
+c AS (SELECT b.track, rid, s, e, idx, dts, pts, coalesce(duration, 0) AS duration FROM b JOIN timeline t ON t.track = b.track AND idx >= first AND idx < stop)
+SELECT track, rid, idx, CAST(dts - first_value(dts) OVER w AS BIGINT) AS dts, CAST(pts - first_value(dts) OVER w AS BIGINT) AS pts, CAST(duration AS BIGINT) AS duration,
+  CAST(least(coalesce(e - s, sum(duration) OVER v), sum(duration) OVER v) AS BIGINT) AS playback FROM c WINDOW w AS (PARTITION BY track, rid ORDER BY idx), v AS (PARTITION BY track, rid)""",
+)
+def r03_clip_other(spark, d):
+    return clips.clip_other(_timeline(spark, d), _ranges(spark), ["track"])
+
+
+DAY_SEGMENTS = ", segs AS (SELECT track, idx AS seg, dts AS start, lead(dts) OVER (PARTITION BY track ORDER BY idx) AS stop FROM timeline WHERE idx % 5 < 2)"
+
+
+@register("j04_audio_in_segments", TIMELINE_CTE + DAY_SEGMENTS + " SELECT t.track, t.idx, t.pts AS t, s.seg FROM timeline t JOIN segs s ON s.track = t.track AND t.pts >= s.start AND t.pts < s.stop WHERE s.seg % 5 = 0")
+def j04_audio_in_segments(spark, d):
+    rows = _timeline(spark, d)
+    marks = rows.where("idx % 5 < 2").withColumn("end", F.lead("dts").over(Window.partitionBy("track").orderBy("idx")))
+    segments = marks.where("idx % 5 = 0 AND end IS NOT NULL").select("track", F.col("idx").alias("seg"), F.col("dts").alias("start"), "end")
+    return clips.in_segments(rows.select("track", "idx", F.col("pts").alias("t")), segments, ["track"])
+
+
+@register(
+    "j10_match_by_rank",
+    "WITH a AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders WHERE o_orderkey % 2 = 0), "
+    "b AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders WHERE o_orderkey % 2 = 1) "
+    "SELECT a.o_custkey AS file, a.o_orderkey AS fragment_track, b.o_orderkey AS movie_track FROM a JOIN b ON a.o_custkey = b.o_custkey AND a.r = b.r",
+)
+def j10_match_by_rank(spark, d):
+    ids = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("file"), "o_orderkey")
+    left = ids.where("o_orderkey % 2 = 0").withColumnRenamed("o_orderkey", "fragment_track")
+    right = ids.where("o_orderkey % 2 = 1").withColumnRenamed("o_orderkey", "movie_track")
+    return clips.match_by_rank(left, right, ["file"], "fragment_track", "movie_track")
+
+
+@register(
+    "j12_sample_in_range",
+    TIMELINE_CTE
+    + """, spread AS (SELECT track, idx, "offset" + (idx // 7) * 300 AS o, size FROM timeline),
+r AS (SELECT *, max(o + size) OVER (PARTITION BY track ORDER BY o, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM spread),
+g AS (SELECT *, sum(CASE WHEN reach IS NULL OR o > reach + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY track ORDER BY o, idx) - 1 AS range_id FROM r)
+SELECT track, idx, CAST(range_id AS BIGINT) AS range_id, CAST(o - min(o) OVER (PARTITION BY track, range_id) AS BIGINT) AS inside FROM g""",
+)
+def j12_sample_in_range(spark, d):
+    rows = _timeline(spark, d).withColumn("offset", F.col("offset") + F.expr("idx div 7") * 300)
+    start = F.min("offset").over(Window.partitionBy("track", "range_id"))
+    return tl.in_byte_ranges(rows, ["track"], 200).select("track", "idx", "range_id", (F.col("offset") - start).alias("inside"))
+
+
+@register("a05_playback", TIMELINE_CTE + "SELECT track, CAST(greatest(0, sum(coalesce(duration, 0)) - max(pts)) AS BIGINT) AS playback FROM timeline GROUP BY track")
+def a05_playback(spark, d):
+    found = _timeline(spark, d).groupBy("track").agg(F.sum(F.coalesce("duration", F.lit(0))).alias("total"), F.max("pts").alias("preroll"))
+    return found.select("track", clips.playback_duration(F.col("total"), F.col("preroll")).alias("playback"))
+
+
+@register(
+    "k04_edit_times",
+    TIMELINE_CTE
+    + """, x AS (SELECT track, idx, CASE WHEN pts - dts > 0 AND idx % 2 = 0 THEN pts - dts WHEN idx % 5 = 0 THEN 0 ELSE dts END AS m FROM timeline)
+SELECT track, idx, nullif(m, 0) AS video, nullif(CAST(floor(CAST(m AS DOUBLE) * 48000 / 90000 + 0.5) AS BIGINT), 0) AS audio FROM x""",
+)
+def k04_edit_times(spark, d):
+    preroll = F.when(F.col("idx") % 2 == 0, F.col("pts") - F.col("dts")).otherwise(F.lit(0).cast("long"))
+    first = F.when(F.col("idx") % 5 == 0, F.lit(0).cast("long")).otherwise(F.col("dts"))
+    return _timeline(spark, d).select("track", "idx", clips.edit_time(preroll, first).alias("video"), clips.edit_time(preroll, first, F.lit(48_000)).alias("audio"))
+
+
+@register(
+    "p03_to_ticks",
+    TIMELINE_CTE
+    + """SELECT track, idx, CAST(floor((pts / 90000.0::DOUBLE - dts / 90000.0::DOUBLE) * 1000 + 0.5) AS BIGINT) AS offset_ticks, CAST(floor(duration / 90000.0::DOUBLE * 1000 + 0.5) AS BIGINT) AS duration,
+CAST(CASE WHEN is_key THEN 0 ELSE 65536 END AS BIGINT) AS flags FROM timeline""",
+)
+def p03_to_ticks(spark, d):
+    rows = _timeline(spark, d)
+    rows = rows.withColumns({c: sc.seconds(F.col(c), F.lit(90_000.0)) for c in ("dts", "pts", "duration")})
+    return clips.to_ticks(rows, 1_000).select("track", "idx", "offset_ticks", "duration", "flags")
+
+
+@register("p04_defaults", TIMELINE_CTE + "SELECT track, idx, coalesce(duration, 0) AS duration, is_key FROM timeline")
+def p04_defaults(spark, d):
+    return clips.with_defaults(_timeline(spark, d), "duration").select("track", "idx", "duration", "is_key")
+
+
+@register("p06_whole_samples", TIMELINE_CTE + 'SELECT track, idx, "offset" FROM timeline WHERE "offset" + size <= 1000 + 100 * (track % 50)')
+def p06_whole_samples(spark, d):
+    return clips.whole_samples(_timeline(spark, d), 1_000 + 100 * (F.col("track") % 50)).select("track", "idx", "offset")
+
+
+@register(
+    "p09_info",
+    TIMELINE_CTE
+    + """SELECT track, CAST(count(*) FILTER (event_type <> 'click') AS BIGINT) AS video_samples, CAST(count(*) FILTER (event_type = 'click') AS BIGINT) AS audio_samples,
+CAST(count(*) FILTER (event_type <> 'click' AND is_key) AS BIGINT) AS keyframes, coalesce(bool_or(pts <> dts) FILTER (event_type <> 'click'), false) AS has_b_frames FROM timeline GROUP BY track""",
+)
+def p09_info(spark, d):
+    rows = tl.from_events(spark.read.parquet(f"{d}/events.parquet"), keep=("event_type",))
+    return clips.info(rows.withColumn("handler", F.when(F.col("event_type") == "click", "soun").otherwise("vide")), ["track"])
+
+
+@register(
+    "r09_relative_range",
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN greatest(0.0::DOUBLE, (o_orderkey % 100)::DOUBLE - (o_custkey % 60)::DOUBLE) END AS s, CASE WHEN o_orderkey % 5 > 0 THEN (o_orderkey % 100 + 10)::DOUBLE - (o_custkey % 60)::DOUBLE END AS e FROM orders",
+)
+def r09_relative_range(spark, d):
+    start = F.when(F.col("o_orderkey") % 3 > 0, (F.col("o_orderkey") % 100).cast("double"))
+    end = F.when(F.col("o_orderkey") % 5 > 0, (F.col("o_orderkey") % 100 + 10).cast("double"))
+    s, e = clips.relative_range(start, end, (F.col("o_custkey") % 60).cast("double"))
+    return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", s.alias("s"), e.alias("e"))
+
+
+@register("c02_sps_size", "SELECT o_orderkey, CAST(2 * (o_orderkey % 2000 + 8) AS INTEGER) AS width, CAST(2 * (o_custkey % 1100 + 8) AS INTEGER) AS height FROM orders")
+def c02_sps_size(spark, d):
+    size = [(2 * (F.col("o_orderkey") % 2_000 + 8)).cast("int"), (2 * (F.col("o_custkey") % 1_100 + 8)).cast("int")]
+    return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", avc.sps_size(avc.make_sps(*size)).alias("z")).select("o_orderkey", "z.width", "z.height")
+
+
+@register(
+    "p12_first_sets",
+    TIMELINE_CTE
+    + """SELECT track, '67' || lpad(to_hex(arg_min(size, idx) FILTER (event_type = 'view')), 8, '0') AS sps, '68' || lpad(to_hex(arg_min(size, idx) FILTER (event_type = 'signup')), 8, '0') AS pps FROM timeline GROUP BY track""",
+)
+def p12_first_sets(spark, d):
+    rows = tl.from_events(spark.read.parquet(f"{d}/events.parquet"), keep=("event_type",))
+    kind = F.when(F.col("event_type") == "view", "67").when(F.col("event_type") == "signup", "68").otherwise("41")
+    unit = F.unhex(F.concat(kind, F.lpad(F.hex("size"), 8, "0")))
+    found = avc.first_sets(rows.select("track", "idx", F.array(F.lit(b"\x09\xf0"), unit).alias("nals")), ["track"])
+    return found.select("track", F.hex("sps").alias("sps"), F.hex("pps").alias("pps"))
+
+
+@register(
+    "x01_registered_functions",
+    "SELECT l_orderkey, l_linenumber, CAST(floor(CAST(l_extendedprice AS DOUBLE) + 0.5) AS BIGINT) AS rounded, CAST(floor(CAST(l_partkey AS DOUBLE) * 90000 / 48000 + 0.5) AS BIGINT) AS ticks, CAST(l_partkey AS DOUBLE) / 90000 AS t FROM lineitem",
+)
+def x01_registered_functions(spark, d):
+    registry.register(spark)
+    return spark.read.parquet(f"{d}/lineitem.parquet").selectExpr(
+        "l_orderkey", "l_linenumber", "media_round(cast(l_extendedprice as double)) AS rounded", "media_rescale(l_partkey, 90000, 48000) AS ticks", "media_seconds(l_partkey, 90000) AS t"
+    )
