@@ -63,19 +63,20 @@ def info(samples: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def reach(samples: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFrame:
-    """``bounds`` with ``idx``: the first sample in decode order with a presentation time not before ``bound``, or null.
+def reach(samples: DataFrame, bounds: DataFrame, keys: list[str], *carry: str) -> DataFrame:
+    """``bounds`` with ``idx``: the first sample in decode order with a presentation time not before ``bound``, or null; ``carry`` of it too.
 
     The greatest time so far reaches a bound where the first such sample stands.
     """
     up_to = Window.partitionBy(*keys).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     none = F.lit(None).cast(bounds.schema)
-    a = samples.select(*keys, F.max("pts").over(up_to).alias("_t"), F.lit(1).alias("_k"), F.col("idx").alias("_i"), none.alias("_b"))
-    b = bounds.select(*keys, F.col("bound").alias("_t"), F.lit(0).alias("_k"), F.lit(None).cast(samples.schema["idx"].dataType).alias("_i"), F.struct(*bounds.columns).alias("_b"))
+    a = samples.select(*keys, F.max("pts").over(up_to).alias("_t"), F.lit(1).alias("_k"), F.col("idx").alias("_i"), F.struct("idx", *carry).alias("_v"), none.alias("_b"))
+    empty = [F.lit(None).cast(a.schema[c].dataType).alias(c) for c in ("_i", "_v")]
+    b = bounds.select(*keys, F.col("bound").alias("_t"), F.lit(0).alias("_k"), *empty, F.struct(*bounds.columns).alias("_b"))
     # from the latest time down: the last sample met is the first that reaches the bound
     down = Window.partitionBy(*keys).orderBy(F.desc("_t"), F.desc("_k"), F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b).withColumn("_f", F.last("_i", True).over(down))
-    return both.where("_k = 0").select("_b.*", F.col("_f").alias("idx"))
+    both = a.unionByName(b).withColumn("_f", F.last("_v", True).over(down))
+    return both.where("_k = 0").select("_b.*", *[F.col(f"_f.{c}").alias(c) for c in ("idx", *carry)])
 
 
 def within(samples: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoreel.operators.clips import reach, within
+
 EPOCH_US = 1_704_067_200_000_000
 
 
@@ -198,13 +200,20 @@ def first_known(rows: DataFrame, keys: list[str], order: str, value: str, *with_
 # --- joins and clips ---------------------------------------------------------------------
 
 
+def _clip_begin(samples: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """``rid, s, e, hit, n, k_idx, k_pts`` of each track and range: the key frame that a clip begins at, and the sample that its scan stops at."""
+    key = F.when(F.col("is_key"), F.struct("idx", "pts"))
+    whole = samples.groupBy(*keys).agg(F.max(key).alias("_l"), F.max(F.when(F.col("idx") == 0, F.struct("idx", "pts"))).alias("_z"), (F.max("idx") + 1).alias("n"))
+    bounds = whole.crossJoin(ranges.select("rid", "s", "e")).withColumn("bound", F.coalesce("s", F.lit(0).cast("long")) + 1)
+    before = Window.partitionBy(*keys).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    met = reach(samples.withColumn("_k", F.max(key).over(before)), bounds, keys, "_k")
+    found = met.withColumn("_k", F.coalesce(F.when(F.col("idx").isNull(), F.col("_l")).otherwise(F.col("_k")), "_z"))
+    return found.select(*keys, "rid", "s", "e", F.col("idx").alias("hit"), "n", F.col("_k.idx").alias("k_idx"), F.col("_k.pts").alias("k_pts"))
+
+
 def keyframe_before(samples: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
     """``rid, k_idx``: in decode order, the last key frame before the scan meets a presentation time beyond the start; 0 if none."""
-    both = samples.join(F.broadcast(ranges))  # a list of requests
-    stop = both.groupBy(*keys, "rid").agg(F.min(F.when(F.col("pts") > F.coalesce("s", F.lit(0)), F.col("idx"))).alias("stop"), F.max("idx").alias("last"))
-    at = samples.where("is_key").select(*keys, "idx").join(stop, keys).where(F.col("idx") < F.coalesce("stop", F.col("last") + 1))
-    best = at.groupBy(*keys, "rid").agg(F.max("idx").alias("k"))
-    return stop.join(best, [*keys, "rid"], "left").select(*keys, "rid", F.coalesce("k", F.lit(0)).cast("long").alias("k_idx"))
+    return _clip_begin(samples, ranges, keys).select(*keys, "rid", F.coalesce("k_idx", F.lit(0)).cast("long").alias("k_idx"))
 
 
 def clip(samples: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
@@ -214,18 +223,17 @@ def clip(samples: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
     its start and ends before the first sample in decode order with a presentation time not
     before its end.
     """
-    begin = keyframe_before(samples, ranges, keys)
-    at = samples.select(*keys, F.col("idx").alias("k_idx"), F.col("pts").alias("k_pts"))
-    begin = begin.join(at, [*keys, "k_idx"]).join(ranges, "rid")
-    rows = samples.join(begin, keys).where("idx >= k_idx")
-    w = Window.partitionBy(*keys, "rid").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    over = F.max(F.when(F.col("e").isNotNull() & (F.col("pts") >= F.col("e")), 1).otherwise(0)).over(w)
-    return (
-        rows.withColumn("_over", over)
-        .where("_over = 0")
-        .select(
-            *keys, "rid", "idx", (F.col("dts") - F.col("k_pts")).alias("dts"), (F.col("pts") - F.col("k_pts")).alias("pts"), "is_key", F.greatest(F.lit(0), F.coalesce("s", F.lit(0)) - F.col("k_pts")).alias("preroll")
-        )
+    own = samples.select(*keys, "idx", "dts", "pts", "is_key")
+    begin = _clip_begin(own, ranges, keys).where("k_idx IS NOT NULL").withColumnRenamed("k_idx", "first")
+    start, columns = F.coalesce("s", F.lit(0).cast("long")), [*keys, "rid", "s", "k_pts", "first", "stop"]
+    # a time beyond the start comes after the key frame; a range that ends no later than it begins may end before that
+    ahead = begin.where(F.col("e").isNull() | (F.col("e") > start)).withColumn("bound", F.coalesce("e", F.lit((1 << 63) - 1)))
+    ahead = reach(own, ahead, keys).withColumn("stop", F.coalesce("idx", "n")).select(*columns)
+    early = within(own, begin.where(F.col("e") <= start).withColumn("stop", F.coalesce(F.col("hit") + 1, "n")), keys)
+    early = early.groupBy(*keys, "rid", "s", "k_pts", "first", "stop").agg(F.min(F.when(F.col("pts") >= F.col("e"), F.col("idx"))).alias("_x"))
+    spans = ahead.union(early.withColumn("stop", F.coalesce("_x", "stop")).select(*columns))
+    return within(own, spans, keys).select(
+        *keys, "rid", "idx", (F.col("dts") - F.col("k_pts")).alias("dts"), (F.col("pts") - F.col("k_pts")).alias("pts"), "is_key", F.greatest(F.lit(0), start - F.col("k_pts")).alias("preroll")
     )
 
 

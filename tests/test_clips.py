@@ -39,3 +39,20 @@ def test_registered_functions(spark):
     assert set(registry.register(spark)) == {"media_round", "media_rescale", "media_seconds", "media_sps_size"}
     row = spark.createDataFrame([(bytearray(avc.build_sps(1280, 720)),)], "sps binary").selectExpr("media_round(-2.5D) AS a", "media_rescale(5, 10, 0) AS b", "media_sps_size(sps).height AS c").first()
     assert tuple(row) == (-2, 5, 720)
+
+
+def test_clips_as_a_scan_finds_them(spark):
+    from chronoreel.operators import timeline as tl
+
+    pts = [0, 30, 10, 20, 50, 40, 70, 60, 90, 80]
+    keys = {0, 3, 6}
+    rows = spark.createDataFrame([(1, i, 10 * i, p, i in keys) for i, p in enumerate(pts)], "f int, idx long, dts long, pts long, is_key boolean")
+    asked = [(r, s, e) for r, (s, e) in enumerate((s, e) for s in (None, 0, 15, 35, 55, 200) for e in (None, 5, 20, 35, 60, 200))]
+    want = []
+    for r, s, e in asked:
+        hit = next((i for i, p in enumerate(pts) if p > (s or 0)), len(pts))
+        k = max((i for i in keys if i < hit), default=0)
+        stop = next((i for i in range(k, len(pts)) if e is not None and pts[i] >= e), len(pts))
+        want += [(r, i, 10 * i - pts[k], pts[i] - pts[k], max(0, (s or 0) - pts[k])) for i in range(k, stop)]
+    got = tl.clip(rows, spark.createDataFrame(asked, "rid int, s long, e long"), ["f"]).select("rid", "idx", "dts", "pts", "preroll")
+    assert sorted(map(tuple, got.collect())) == want
