@@ -13,6 +13,13 @@ from chronoreel.functions.scalar import jsround
 
 #: Samples of a block that clips are matched by.
 BLOCK = 1_024
+#: Rows of a table of requests that is still sent to all tasks.
+FEW = 100_000
+
+
+def if_small(requests: DataFrame) -> DataFrame:
+    """Marked for a broadcast if counted to be of few rows; else Catalyst chooses."""
+    return F.broadcast(requests) if requests.limit(FEW + 1).count() <= FEW else requests
 
 
 def with_defaults(samples: DataFrame, *columns: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoreel.operators.clips import reach, within
+from chronoreel.operators.clips import if_small, reach, within
 
 EPOCH_US = 1_704_067_200_000_000
 
@@ -243,7 +243,7 @@ def clip_samples(samples: DataFrame, ranges: DataFrame, keys: list[str]) -> Data
     The first sample that ends after the start, back to the sync sample before it; up to the
     last that starts before the end.
     """
-    rows = samples.withColumn("duration", F.coalesce("duration", F.lit(0))).join(F.broadcast(ranges))
+    rows = samples.withColumn("duration", F.coalesce("duration", F.lit(0))).join(if_small(ranges))
     s, e = F.coalesce("s", F.lit(0)), F.col("e")
     shown = rows.groupBy(*keys, "rid").agg(
         F.min(F.when(F.col("pts") + F.col("duration") > s, F.col("idx"))).alias("hit"),
@@ -266,7 +266,7 @@ def clip_samples(samples: DataFrame, ranges: DataFrame, keys: list[str]) -> Data
 def overlap(intervals: DataFrame, ranges: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
     """Half-open intervals that meet half-open ranges: touching is not meeting; a null end is open."""
     s, e = F.coalesce("s", F.lit(0)), F.col("e")
-    return intervals.join(F.broadcast(ranges), (F.col(end) > s) & (e.isNull() | (F.col(start) < e)))
+    return intervals.join(if_small(ranges), (F.col(end) > s) & (e.isNull() | (F.col(start) < e)))
 
 
 def as_of(points: DataFrame, steps: DataFrame, keys: list[str], time: str, start: str, value: str, none=-1) -> DataFrame:

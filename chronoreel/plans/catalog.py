@@ -11,6 +11,7 @@ from chronoreel.operators import clips
 from chronoreel.operators import timeline as tl
 from chronoreel.sinks import mp4 as mp4_sink
 from chronoreel.sinks import mpegts as ts_sink
+from chronoreel.sources import files as file_source
 from chronoreel.sources import mp4 as mp4_source
 from chronoreel.sources import mpegts as ts_source
 from chronoreel.sources import playlist
@@ -704,3 +705,10 @@ def x01_registered_functions(spark, d):
     return spark.read.parquet(f"{d}/lineitem.parquet").selectExpr(
         "l_orderkey", "l_linenumber", "media_round(cast(l_extendedprice as double)) AS rounded", "media_rescale(l_partkey, 90000, 48000) AS ticks", "media_seconds(l_partkey, 90000) AS t"
     )
+
+
+@register("s24_payloads", BYTES_CTE + "SELECT file, idx, CASE WHEN is_key THEN '65' ELSE '41' END || repeat('88', CAST(size - 1 AS INTEGER)) AS data FROM units")
+def s24_payloads(spark, d):
+    files = mp4_sink.write(_mp4_rows(spark, d), timescale=1_000)
+    found = file_source.payloads(files, mp4_source.samples(files))
+    return found.select("file", "idx", F.hex("data").alias("data"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoreel.functions.scalar import absolute_url, fixed, quality_name
+from chronoreel.operators.clips import if_small
 
 
 def lines(playlists: DataFrame) -> DataFrame:
@@ -104,7 +105,7 @@ def prune(found: DataFrame, start: float | None = None, end: float | None = None
 
 def clip(found: DataFrame, ranges: DataFrame) -> DataFrame:
     """Summary of a clip of each playlist and range ``rid, s, e`` in seconds: no media is read."""
-    rows = found.join(F.broadcast(ranges), (F.col("end") > F.col("s")) & (F.col("start") < F.col("e")))
+    rows = found.join(if_small(ranges), (F.col("end") > F.col("s")) & (F.col("start") < F.col("e")))
     return rows.groupBy("playlist", "rid").agg(
         F.count("*").alias("n"),
         F.first(F.col("e") - F.col("s")).alias("duration"),
