@@ -51,9 +51,10 @@ def seconds(ticks: Column, timescale) -> Column:
 
 
 def size_label(size: Column) -> Column:
-    """Megabytes with two decimals from 1 MiB on, else kilobytes with one."""
-    mb = F.format_string("%.2f MB", size / F.lit(1048576.0))
-    return F.when(size >= 1048576, mb).otherwise(F.format_string("%.1f KB", size / F.lit(1024.0)))
+    """Megabytes with two decimals from 1 MiB on, ties to even, else kilobytes with one, ties up; null of null."""
+    mb = F.format_string("%.2f MB", F.bround(size / F.lit(1048576.0), 2))
+    kb = F.format_string("%.1f KB", F.floor(size / F.lit(1024.0) * 10 + 0.5) / F.lit(10.0))
+    return F.when(size >= 1048576, mb).when(size < 1048576, kb)
 
 
 def fixed(x: Column, n: int) -> Column:

@@ -59,3 +59,9 @@ def test_scalars(spark):
         sc.media_format(F.lit(b"\x47\x47\x47")).alias("j"), sc.media_format(F.lit(b"\x47\x47\x47\x47")).alias("k"),
     ).first()
     assert tuple(r) == (-2, 3, 0x80000000, True, False, "1.00 MB", "http://h/y.ts", "http://h/a/y.ts", True, "unknown", "mpegts")
+
+
+def test_size_label_ties_and_nulls(spark):
+    sizes = [3_276_800, 3_407_872, 16_384_000, 1_048_575, 256, None]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(sizes)], "i int, x long").select("i", sc.size_label(F.col("x")).alias("s")).orderBy("i").collect()
+    assert [r.s for r in got] == ["3.12 MB", "3.25 MB", "15.62 MB", "1024.0 KB", "0.3 KB", None]
