@@ -8,7 +8,11 @@ set with the least of those that share a shingle, then of sets that are still ap
 A shared order of shingles, frequent ones last, makes candidates complete: two sets of the
 wanted similarity share a shingle within the first part of each (all but what the overlap
 needs, plus one). Frequent shingles are told from a sample; they change the order, which may
-be any, and so the work but never the result. Candidates are checked on the whole sets.
+be any, and so the work but never the result.
+
+Candidates go by sketches first: a set's shingles, hashed to about as many bits, each bit the
+parity of how many fell on it. Two sketches differ in no more bits than their sets in shingles,
+so a pair whose sketches differ too much is no link, and whole sets move for few pairs alone.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoreel.llm.common import as_bytes, components, cut, drop, hash_words, mix64, release, split_words
+from chronoreel.llm.common import as_bytes, collect_garbage, components, cut, drop, hash_words, mix64, release, split_words
 from chronoreel.llm.simhash import fingerprint, hamming_links
 
 #: Texts that frequent shingles are told from, in how many of them one is frequent, and how many are told apart.
@@ -58,6 +62,26 @@ def set_names(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(n > 0, mix64(total[stop] - total[stop - n] + n.astype(np.uint64), 10), np.uint64(0)).view(np.int64)
 
 
+def sketches(h: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Parities of each set's shingles by their low bits, in as many bits as the set has shingles or up to twice that, 256 at least."""
+    bits = np.int64(1) << np.ceil(np.log2(np.maximum(n, 256))).astype(np.int64)
+    stop = np.cumsum(bits)
+    at = np.repeat(stop - bits, n) + (h & np.repeat(bits - 1, n).astype(np.uint64)).astype(np.int64)
+    raw = np.packbits((np.bincount(at, minlength=int(bits.sum())) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [raw[(e - m) // 8 : e // 8] for e, m in zip(stop.tolist(), bits.tolist(), strict=True)]
+
+
+def sketch_distances(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """In how many bits each pair of sketches differs, the longer one folded: never more than their sets differ in shingles."""
+    sizes = np.array([(len(a), len(b)) for a, b in zip(x, y, strict=True)], np.int64).reshape(-1, 2)
+    out = np.zeros(len(sizes), np.int64)
+    for pair in np.unique(sizes, axis=0):
+        rows, least = np.flatnonzero((sizes == pair).all(axis=1)), int(pair.min())
+        a, b = (np.bitwise_xor.reduce(np.frombuffer(b"".join([z[i] for i in rows]), np.uint64).reshape(len(rows), -1, least // 8), axis=1) for z in (x, y))
+        out[rows] = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def _pieces(column: pa.Array):
     """(from, to, texts) of a batch, a bounded part of the text at a time."""
     texts, i, held = as_bytes(column), 0, 0
@@ -104,15 +128,44 @@ def links(docs: DataFrame, shingle: int = 5, similarity: Fraction = Fraction(4,
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), _binaries(*shingle_sets(t, shingle))], ["node", "shingles"])
 
     def checked(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs that are similar; only the sets that stand in pairs are made again, from one text each."""
-        wanted = pairs.selectExpr("a AS node").union(pairs.selectExpr("b")).distinct()
-        one = name_rows(texts, shingle).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+        """Those of the pairs that are similar: by sketches first, then on the whole sets, which are made again from one text each."""
+        sketched = nodes.select("node", "n", "sketch")
+        both = pairs.join(sketched.toDF("a", "n_a", "of_a"), "a").join(sketched.toDF("b", "n_b", "of_b"), "b").select("a", "b", "n_a", "n_b", "of_a", "of_b")
+        pairs = cut(both.mapInArrow(likely, "a long, b long"), "likely")
+        wanted = cut(pairs.selectExpr("a AS node").union(pairs.selectExpr("b")).distinct(), "wanted")
+        collect_garbage(spark)
+        # which names are wanted, some more with them by chance: most texts needn't move
+        bits = 1 << max(6, (16 * wanted.count()).bit_length())
+        found = wanted.selectExpr(f"shiftright(node & {bits - 1}L, 6) AS at", "shiftleft(1L, cast(node & 63 AS int)) AS bit").groupBy("at").agg(F.bit_or("bit").alias("bits"))
+        filled = np.zeros(bits // 64, np.uint64)
+        for r in found.collect():
+            filled[r["at"]] = np.uint64(r["bits"] & 0xFFFFFFFFFFFFFFFF)
+
+        def some(batches):
+            release()
+            for b in batches:
+                for i, j, t in _pieces(b.column(0)):
+                    node = set_names(*shingle_sets(t, shingle))
+                    at = (node & np.int64(bits - 1)).astype(np.uint64)
+                    live = (filled[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(node)], ["text", "node"]).filter(pa.array(live))
+
+        one = texts.mapInArrow(some, "text string, node long").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
         sets = cut(one.mapInArrow(whole, "node long, shingles binary"), "sets")
         both = pairs.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b").select("a", "b", "of_a", "of_b")
         out = cut(both.mapInArrow(check, "a long, b long"), "similar")
-        drop(sets)
+        for x in (sets, wanted, pairs):
+            drop(x)
+        del both, one, found
+        collect_garbage(spark)
         return out
 
+    def likely(batches):
+        for b in batches:
+            n = b.column("n_a").to_numpy().astype(np.int64) + b.column("n_b").to_numpy()
+            near = sketch_distances(b.column("of_a").to_pylist(), b.column("of_b").to_pylist()) * (p + q) <= (q - p) * n
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(near))
+
     def check(batches):
         for b in batches:
             good = []
@@ -148,11 +201,14 @@ def links(docs: DataFrame, shingle: int = 5, similarity: Fraction = Fraction(4,
                 pos = np.arange(len(h)) - (np.cumsum(n) - n)[doc]
                 keep = np.where(n > 0, n - -(-n * p // q) + 1, 0)
                 first = order[pos < keep[doc]]
-                yield pa.RecordBatch.from_arrays([pa.array(set_names(h, n)), pa.array(fp.view(np.int64)), pa.array(n.astype(np.int32)), _binaries(h[first], keep)], ["node", "fp", "n", "prefix"])
+                yield pa.RecordBatch.from_arrays([pa.array(set_names(h, n)), pa.array(fp.view(np.int64)), pa.array(n.astype(np.int32)), _binaries(h[first], keep), pa.array(sketches(h, n), pa.binary())], ["node", "fp", "n", "prefix", "sketch"])
 
     # texts with one set may differ in a repeat, and so in their fingerprint: the least stands for the set
-    own = texts.mapInArrow(prefixes, "node long, fp long, n int, prefix binary").where("n > 0")
-    nodes = cut(own.groupBy("node").agg(F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "prefixes")
+    own = texts.mapInArrow(prefixes, "node long, fp long, n int, prefix binary, sketch binary").where("n > 0")
+    nodes = cut(own.groupBy("node").agg(F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")), "prefixes")
+
+    del own, some, seen
+    collect_garbage(spark)
 
     # by SimHash: a forest of links between fingerprints, and of each fingerprint's sets to the least of them
     of_fp = nodes.groupBy("fp").agg(F.min("node").alias("a"))
@@ -227,7 +283,10 @@ def links(docs: DataFrame, shingle: int = 5, similarity: Fraction = Fraction(4,
         rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("of", "node")).select("node", "n", "prefix", "root")
         placed = rooted.mapInArrow(spread, "root long, bucket int, shingle long, node long, n int, pos int")
         pairs = cut(placed.groupBy("bucket").applyInArrow(pair, "a long, b long").distinct(), "pairs")
+        del roots, rooted, placed
+        collect_garbage(spark)
         found = cut(found.union(checked(pairs)), "links")
+        drop(pairs)
     drop(nodes)
     return found
 

@@ -1,6 +1,8 @@
 from fractions import Fraction
 from itertools import combinations
 
+import numpy as np
+
 import corpus_pipeline as cp
 from chronoreel.llm import shingles
 
@@ -89,3 +91,32 @@ def test_least_rows_are_one_of_each_group(spark):
     assert got.columns == docs.columns
     assert sorted(map(tuple, got.collect()), key=repr) == sorted([rows[1], rows[4], rows[5], rows[6]], key=repr)
     assert not shingles.least_rows(docs.limit(0)).collect()
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_shingles():
+    rng = np.random.default_rng(5)
+    hashes = rng.integers(0, 1 << 64, 12_000, np.uint64)
+    sets = [np.sort(hashes[a : a + n]) for a in (0, 40, 300) for n in (0, 1, 255, 256, 257, 300, 5_000)]
+    made = shingles.sketches(np.concatenate(sets), np.array([len(x) for x in sets]))
+    assert {len(x) * 8 for x in made} == {256, 512, 8192}
+    pairs = list(combinations(range(len(sets)), 2))
+    d = shingles.sketch_distances([made[i] for i, _ in pairs], [made[j] for _, j in pairs])
+    assert all(x <= len(np.setxor1d(sets[i], sets[j])) for x, (i, j) in zip(d, pairs, strict=True))
+    assert len(shingles.sketch_distances([], [])) == 0
+
+
+def test_whole_sets_move_for_pairs_alone_that_are_nearly_similar(spark, monkeypatch):
+    line = " ".join(f"licence{j}" for j in range(60))
+    docs = [(j, f"{line} " + " ".join(f"{j}text{k}" for k in range(60))) for j in range(30)] + [(99, f"{line} " + " ".join(f"3text{k}" for k in range(59)))]
+    moved, cut = [], shingles.cut
+
+    def kept(df, tag):
+        out = cut(df, tag)
+        moved.extend([out.count()] if tag == "sets" else [])
+        return out
+
+    monkeypatch.setattr(shingles, "cut", kept)
+    monkeypatch.setattr(shingles, "SAMPLE", 0)  # no shingle is put last as frequent, so all the texts are candidates
+    df = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in docs], DOC_SCHEMA)
+    assert sorted(r.doc_id for r in cp.simhash_near_dedup(spark, df, "").collect()) == list(range(30))
+    assert sum(moved) == 2
