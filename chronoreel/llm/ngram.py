@@ -34,6 +34,8 @@ SHARD_NGRAMS = 1_500_000
 PRIOR, HOT_SHARE = 30.0, 1 / 2_000
 #: The context of a first word, and what follows an end; names of words are larger. An end is the empty word.
 BEGIN, PAD = np.uint64(1), np.uint64(2)
+#: Searches done at once: their arrays stay in a core's cache.
+BLOCK = 16_384
 #: Steps of log10 that a quantised probability is told in; code 0 is none.
 STEP = 8 / 254
 
@@ -91,6 +93,12 @@ class EliasFano:
         return at.astype(np.int64)
 
     def get(self, i: np.ndarray) -> np.ndarray:
+        out = np.empty(len(i), np.uint64)
+        for a in range(0, len(i), BLOCK):
+            out[a : a + BLOCK] = self._get(i[a : a + BLOCK])
+        return out
+
+    def _get(self, i: np.ndarray) -> np.ndarray:
         word = np.searchsorted(self.ones, i, side="right") - 1
         place = word * 64 + self._in_word(self.high[word], i - self.ones[word])
         return ((place - i).astype(np.uint64) << np.uint64(self.bits)) | self._lows(i)
@@ -115,8 +123,15 @@ class EliasFano:
         return out
 
     def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the first value >= x, ``n`` if none, and whether it is x: the bucket of equal high bits, then halving by low bits."""
+        """Index of the first value >= x, ``n`` if none, and whether it is x."""
         x = np.asarray(x, np.uint64)
+        at, same = np.empty(len(x), np.int64), np.empty(len(x), bool)
+        for a in range(0, len(x), BLOCK):
+            at[a : a + BLOCK], same[a : a + BLOCK] = self._search_block(x[a : a + BLOCK])
+        return at, same
+
+    def _search_block(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bucket of equal high bits, then halving by low bits."""
         if not self.n:
             return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
         bucket = (x >> np.uint64(self.bits)).astype(np.int64)
@@ -197,7 +212,8 @@ class Trie:
         parent = np.repeat(parent, times)
         out = np.full(len(word), -1)
         some = np.flatnonzero((parent >= 0) & (lo < hi))
-        w = words.find(word[some])
+        asked, number = np.unique(word[some], return_inverse=True)
+        w = words.find(asked)[number]
         some, w = some[w >= 0], w[w >= 0]
         at = successors.find(parent[some].astype(np.uint64) * np.uint64(max(1, words.n)) + w.astype(np.uint64))
         good = (at >= lo[some]) & (at < hi[some])
@@ -264,22 +280,26 @@ class Trigrams:
         _, _, train, sizes = unsqueeze(own["docs"])
         at, name, count = unsqueeze(own["words"])
         self.sizes, self.at, self.count = sizes.astype(np.int64), at, count
-        at, k = at.astype(np.int64), np.int64(len(name) + 1)
+        # words by the order of their names, a begin and a pad before them: trigrams come out in order
+        rank, k = np.empty(len(name), np.int64), np.int64(len(name) + 1)
+        by_name = np.argsort(name)
+        rank[by_name] = np.arange(1, k)
+        name, at = name[by_name], rank[at]
         stop = np.cumsum(self.sizes) - 1
-        came = np.concatenate(([len(name)], at[:-1]))
-        came[stop[:-1] + 1] = len(name)
-        then = np.append(at[1:], len(name))
-        then[stop] = len(name)
+        came = np.concatenate(([0], at[:-1]))
+        came[stop[:-1] + 1] = 0
+        then = np.append(at[1:], 0)
+        then[stop] = 0
         pair, of_pair = np.unique(came * k + at, return_inverse=True)
         triple, of_triple = np.unique(of_pair * k + then, return_inverse=True)
         of, x = np.divmod(triple, k)
         u, w = np.divmod(pair[of], k)
-        context, middle, after = np.append(name, BEGIN)[u], name[w], np.append(name, PAD)[x]
+        context, middle, after = np.append(BEGIN, name)[u], name[w - 1], np.append(PAD, name)[x]
         key = mix64(context, 3)
         spread = np.isin(context, hot)
         key[spread] = mix64(context[spread] ^ mix64(middle[spread], 4), 3)
         shard = (key % np.uint64(shards)).astype(np.int32)
-        order = np.lexsort((after, middle, context, shard))
+        order = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
         self.place = np.empty(len(order), np.int64)
         self.place[order] = np.arange(len(order))
         self.place = self.place[of_triple]

@@ -101,3 +101,19 @@ def test_trigrams_tell_orders_of_words_that_bigrams_do_not(spark):
     got = {r.doc_id: r for r in ngram.score(spark.createDataFrame(rows, "doc_id long, text string"), trained="doc_id < 1000").collect()}
     seen, new = got[1001], got[1002]
     assert abs(seen.score2 - new.score2) < 0.05 and seen.score - new.score > 0.5
+
+
+def test_searches_go_by_blocks_and_ask_for_a_word_once(monkeypatch):
+    monkeypatch.setattr(ngram, "BLOCK", 7)
+    rng = np.random.default_rng(3)
+    values = np.unique(rng.integers(0, 10_000, 900, np.uint64))
+    ef, x = ngram.EliasFano.of(values), rng.integers(0, 12_000, 500, np.uint64)
+    assert (ef.get(np.arange(len(values))) == values).all()
+    assert (ef.successor(x) == np.searchsorted(values, x)).all()
+    assert ((ef.find(x) >= 0) == np.isin(x, values)).all()
+    context, word = np.repeat(values[:40], 20), np.tile(values[-20:], 40)
+    trie = ngram.Trie.of(context, word, np.full(800, 0.5))
+    asked, find = [], ngram.EliasFano.find
+    monkeypatch.setattr(ngram.EliasFano, "find", lambda self, x: (asked.append(len(x)) if self is trie.parts["words"] else None) or find(self, x))
+    assert (trie.find(context, word) == np.arange(800)).all()
+    assert asked == [20]
