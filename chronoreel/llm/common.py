@@ -19,11 +19,15 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def is_local(spark: SparkSession) -> bool:
+    return re.match(r"local(\[|$)", spark.sparkContext.master) is not None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names. Where it is unset, one of our own, on a local master alone: no other has one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        if not is_local(spark):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="chronoreel-")
         spark.sparkContext.setCheckpointDir(found)
@@ -95,6 +99,17 @@ def collect_garbage(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def give_back(spark: SparkSession) -> None:
+    """Executors collect their garbage, and heap that holds nothing goes back to the system: it grows by itself, but hardly ever shrinks.
+
+    A task for each core, so that each executor at rest gets some. On a local master the driver's heap is the executor's.
+    """
+    collect_garbage(spark)
+    if not is_local(spark):
+        cores = spark.sparkContext.defaultParallelism
+        spark.range(0, cores, 1, cores).selectExpr("java_method('java.lang.System', 'gc')").collect()
+
+
 def as_bytes(column: pa.Array) -> list:
     """Values of a string column as UTF-8, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

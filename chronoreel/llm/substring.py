@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoreel.llm import names
-from chronoreel.llm.common import as_bytes, collect_garbage, cut, drop, mix64
+from chronoreel.llm.common import as_bytes, collect_garbage, cut, drop, mix64, release
 from chronoreel.llm.names import ASK, squeeze, unsqueeze
 
 #: Symbols in an anchor.
@@ -97,6 +97,7 @@ def _symbols(own: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _rows(batches, columns: list[str]):
     """(chunk, its blobs by name), row by row."""
+    release()
     for b in batches:
         for chunk, *blobs in zip(b.column("chunk").to_pylist(), *(b.column(c) for c in columns), strict=True):
             yield chunk, {c: x.as_buffer() for c, x in zip(columns, blobs, strict=True)}

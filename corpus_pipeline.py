@@ -6,18 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoreel.llm import langid, mixing, shingles, spm, substring
-from chronoreel.llm.common import cut, small_batches
+from chronoreel.llm.common import cut, give_back, small_batches
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def begin(spark: SparkSession) -> None:
+    """What each stage needs first: bounded batches, and executors that have given back the heap of the stage before."""
+    small_batches(spark)
+    give_back(spark)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go whose text has no letter, null and empty texts too, or whose language is refused.
 
     The whole text decides, however long. Rows of equal text share their fate, repeated and null
     ids keep a row each, other columns than a document's are left out. An empty table stays empty.
     """
-    small_batches(spark)
+    begin(spark)
     model = langid.learn(docs)
     return langid.identify(docs.select(*COLUMNS), model).where("accepted").select(*COLUMNS)
 
@@ -29,7 +35,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     sets. Null and empty texts and texts of white space are one group. Rows that share an id are
     rows of their own; ties go to the least text. An empty table stays empty.
     """
-    small_batches(spark)
+    begin(spark)
     return shingles.least_rows(docs.select(*COLUMNS))
 
 
@@ -39,7 +45,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null and empty texts stay as they are, so do rows with a null id; rows of equal ids are not
     earlier than each other. An empty table stays empty.
     """
-    small_batches(spark)
+    begin(spark)
     found = substring.remove_repeats(docs, 50, keep=("lang", "source", "n_chars"))
     kept = found.where("n_removed < n_words OR n_words = 0")
     length = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars"))
@@ -53,6 +59,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows of one id are told apart by source and text; of rows alike in all of that each is taken
     as often as the one taken most. An empty table stays empty.
     """
+    begin(spark)
     keys = ("doc_id", "source", "tie")
     taken = mixing.mix(docs).where("taken > 0").select(*keys, (F.col("taken") / F.col("size")).cast("int").alias("times"))
     times = cut(taken.groupBy(*keys).agg(F.max("times").alias("times")), "times")
@@ -64,7 +71,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text, with a digest of what they decode to; null text is empty, every row stays, an empty table stays empty."""
-    small_batches(spark)
+    begin(spark)
     found = spm.round_trip(docs.select("doc_id", "source", "text"))
     return found.select("doc_id", "source", "n_tokens", "ids", F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
