@@ -1,9 +1,10 @@
-"""Approximate nearest neighbours: an inverted file with product-quantised residuals.
+"""Nearest neighbours by an inverted file: exact, by bounds on what a cell can hold.
 
 Vectors are scaled to length 1, so nearest by cosine is nearest by distance. Coarse
-centroids and codebooks are fitted on a bounded sample; every vector is indexed. A query
-visits its nearest cells, scores their codes by a table of squared distances per
-sub-vector, and the best of each cell are scored again on the original vectors.
+centroids are fitted on a bounded sample; every vector is indexed. A query visits its nearest
+cells first, and then each other cell whose nearest possible vector, by the distance of its
+centroid and the reach of its vectors from that, isn't farther than the query's last find.
+In a cell all vectors are compared: their products cost less than the look-ups of codes.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ from chronoreel.llm.range_join import as_matrix, unit, valid
 FIT_SAMPLE = 20_000
 #: Vectors in one task's part of a cell.
 PART = 20_000
+#: Products worked on at once, and numbers of candidates scored at once.
+BLOCK, SCORED = 1_000_000, 2_000_000
+#: More than rounding can change in a product or a distance of unit vectors.
+SLACK, FAR = 1e-10, 1e-5
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -38,29 +43,15 @@ def kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
 
 
 class Index:
-    """Coarse centroids and codebooks of the residuals' sub-vectors."""
+    """Coarse centroids."""
 
-    def __init__(self, sample: np.ndarray, cells: int, parts: int, codes: int = 64, seed: int = 11):
+    def __init__(self, sample: np.ndarray, cells: int, seed: int = 11):
         self.coarse = kmeans(sample, cells, 8, seed)
-        rest = sample - self.coarse[self.cells_of(sample, 1)[:, 0]]
-        self.cut = np.array_split(np.arange(sample.shape[1]), min(parts, sample.shape[1]))
-        self.books = [kmeans(rest[:, c], codes, 8, seed + 1 + i) for i, c in enumerate(self.cut)]
 
-    def cells_of(self, x: np.ndarray, n: int) -> np.ndarray:
-        d = (self.coarse**2).sum(axis=1) - 2 * x @ self.coarse.T
-        return d.argsort(axis=1, kind="stable")[:, :n]
-
-    def encode(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
-        rest = x - self.coarse[cell]
-        return np.stack([((b * b).sum(axis=1) - 2 * rest[:, c] @ b.T).argmin(axis=1) for c, b in zip(self.cut, self.books, strict=True)], axis=1).astype(np.uint8)
-
-    def distances(self, q: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric: the query as it is against the coded vectors, by look-up."""
-        rest, out = q - self.coarse[cell], np.zeros((len(q), len(codes)), np.float32)
-        for j, (c, b) in enumerate(zip(self.cut, self.books, strict=True)):
-            table = ((rest[:, c] ** 2).sum(axis=1)[:, None] - 2 * rest[:, c] @ b.T + (b * b).sum(axis=1)).astype(np.float32)
-            out += table[:, codes[:, j]]
-        return out
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        """From each row to each centroid."""
+        d = (x * x).sum(axis=1)[:, None] + (self.coarse**2).sum(axis=1) - 2 * x @ self.coarse.T
+        return np.sqrt(np.maximum(d, 0))
 
 
 def search(
@@ -68,17 +59,14 @@ def search(
     is_query: str = "vec_id % 50 = 0",
     k: int = 5,
     probe: float = 0.9,
-    rerank: int = 60,
     cells: int | None = None,
-    parts: int = 16,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's ``k`` nearest others by cosine, ties to the smaller id.
 
     ``is_query`` is SQL over ``vec_id``. ``probe`` is the part of the cells that a query
-    visits and ``rerank`` how many of a cell's best codes are scored on the original
-    vectors. Null, zero and non-finite vectors and null ids take no part. Vectors meet those of
+    visits before bounds tell which of the others it needs; the result doesn't depend on it. Null, zero and non-finite vectors and null ids take no part. Vectors meet those of
     their own length: lengths of more than PART vectors have an index each, the others are compared
     one with all. A query's own id is no candidate. Repeated ids are rows of their own: as
     candidates each counts, as queries each different vector has its own ranks.
@@ -89,16 +77,15 @@ def search(
     rows = rows.where(f"vec_id IS NOT NULL AND {valid('v')}")
     rows = cut(rows.withColumn("dim", F.size("v")), "vectors")
     sizes = {r[0]: r[1] for r in rows.groupBy("dim").count().collect()}  # one row a length
-    found = [_indexed(rows.where(F.col("dim") == d).select("vec_id", "v"), n, is_query, k, probe, rerank, cells, parts) for d, n in sorted(sizes.items()) if n > PART or n == max(sizes.values())]
+    found = [_indexed(rows.where(F.col("dim") == d).select("vec_id", "v"), n, is_query, k, probe, cells) for d, n in sorted(sizes.items()) if n > PART or n == max(sizes.values())]
     small = [d for d, n in sizes.items() if n <= PART and n < max(sizes.values())]
     if small:
         rest = rows.where(F.col("dim").isin(small))
         both = rest.select("dim", F.lit(0).cast("long").alias("q"), "vec_id", "v", F.lit(False).alias("asks")).union(_queries(rest, is_query).select("dim", "q", "vec_id", "v", F.lit(True)))
-        found.append(both.groupBy("dim").applyInArrow(lambda key, t: _scan(t, lambda q, p: None, k, PART), FOUND))
+        found.append(both.groupBy("dim").applyInArrow(lambda key, t: _scan(t, k), FOUND))
     if not found:
         return spark.createDataFrame([], schema)
-    first = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
-    return reduce(DataFrame.union, found).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return _best(reduce(DataFrame.union, found), k).select("query_id", "rank", "vec_id", "score")
 
 
 FOUND = "query_id long, q long, vec_id long, score double"
@@ -109,63 +96,67 @@ def _queries(rows: DataFrame, is_query: str) -> DataFrame:
     return rows.where(is_query).dropDuplicates(["vec_id", "v"]).withColumn("q", F.xxhash64("v"))
 
 
-def _scan(t: pa.Table, distances, k: int, rerank: int) -> pa.Table:
-    """The best ``k`` among a group's points for each of its queries: by ``distances(queries, points)`` first, if it gives any, then exactly."""
+def _best(found: DataFrame, k: int) -> DataFrame:
+    first = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
+
+
+def _scan(t: pa.Table, k: int) -> pa.Table:
+    """The best ``k`` among a group's points for each of its queries: whatever may be among them by products of unit vectors, by its cosine then."""
     asks, ids, x, key = t.column("asks").to_numpy(), t.column("vec_id").to_numpy(), as_matrix(t.column("v")), t.column("q").to_numpy()
     p, q = np.flatnonzero(~asks), np.flatnonzero(asks)
-    p = p[ids[p].argsort(kind="stable")]
     out = [[], [], [], []]
     if len(p) and len(q):
         u = unit(x)
-        measure = distances(u, p)
-        keep = min(len(p), max(rerank, k + 1))
-        step = max(1, 1_000_000 // len(p))
+        step, some = max(1, BLOCK // len(p)), max(1, SCORED // x.shape[1])
         for i in range(0, len(q), step):
             own = q[i : i + step]
-            if measure is None:
-                best = np.broadcast_to(np.arange(len(p)), (len(own), len(p)))
-                score = np.stack([cosine(x[[j]], x[p]) for j in own])
-            else:
-                d = measure(u[own])
-                d[ids[own][:, None] == ids[p][None, :]] = np.inf
-                best = d.argsort(axis=1, kind="stable")[:, :keep]
-                score = cosine(x[own][:, None, :], x[p][best])
-            score[ids[own][:, None] == ids[p][best]] = -np.inf
-            order = np.lexsort((ids[p][best], -score), axis=1)[:, :k]
-            take = lambda a: np.take_along_axis(a, order, axis=1).reshape(-1)  # noqa: B023, E731
-            for column, value in zip(out, (np.repeat(ids[own], order.shape[1]), np.repeat(key[own], order.shape[1]), take(ids[p][best]), take(score)), strict=True):
+            near = u[own] @ u[p].T
+            near[ids[own][:, None] == ids[p]] = -np.inf
+            least = np.partition(near, -k, axis=1)[:, -k] if k < len(p) else np.full(len(own), -np.inf)
+            row, at = np.nonzero((near >= least[:, None] - SLACK) & (near > -np.inf))
+            score = np.concatenate([cosine(x[own[row[j : j + some]]], x[p[at[j : j + some]]]) for j in range(0, len(row), some)] or [np.zeros(0)])
+            order = np.lexsort((ids[p[at]], -score, row))
+            begin = np.searchsorted(row, np.arange(len(own)))
+            order = order[np.arange(len(row)) - begin[row] < k]
+            row, at, score = own[row[order]], p[at[order]], score[order]
+            for column, value in zip(out, (ids[row], key[row], ids[at], score), strict=True):
                 column.append(value)
-    a, r, b, s = (np.concatenate(o) if o else np.zeros(0, kind) for o, kind in zip(out, (np.int64, np.int64, np.int64, np.float64), strict=True))
-    real = np.isfinite(s)
-    return pa.table({"query_id": a[real], "q": r[real], "vec_id": b[real], "score": s[real]})
+    return pa.table([np.concatenate(o) if o else np.zeros(0, kind) for o, kind in zip(out, (np.int64, np.int64, np.int64, np.float64), strict=True)], names=["query_id", "q", "vec_id", "score"])
 
 
-def _indexed(rows: DataFrame, n: int, is_query: str, k: int, probe: float, rerank: int, cells: int | None, parts: int) -> DataFrame:
+def _indexed(rows: DataFrame, n: int, is_query: str, k: int, probe: float, cells: int | None) -> DataFrame:
     """Rows ``FOUND`` for vectors of one length, by an index of their own."""
     sample = rows.orderBy(F.xxhash64("vec_id", "v")).limit(FIT_SAMPLE).select("v").collect()
     sample = unit(np.array([r[0] for r in sample], np.float64))
-    cells = cells or int(max(1, min(4096, round(np.sqrt(n) / 4), len(sample) // 8)))
-    index = Index(sample, cells, parts)
-    visit = min(cells, int(np.ceil(cells * probe)))
-    per_cell = np.zeros(cells, np.int64)
+    index = Index(sample, cells or int(max(1, min(4096, round(np.sqrt(n) / 4), len(sample) // 8))))
+    cells = len(index.coarse)
+    visit = min(cells, max(1, int(np.ceil(cells * probe))))
 
     def place(batches):
         for b in batches:
-            cell = index.cells_of(unit(as_matrix(b.column("v"))), 1)[:, 0]
-            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), b.column("vec_id"), b.column("v")], ["cell", "vec_id", "v"])
-
-    placed = cut(rows.mapInArrow(place, "cell int, vec_id long, v array<double>"), "placed")
-    for c, m in placed.groupBy("cell").count().collect():  # one row a cell
-        per_cell[c] = m
+            d = index.distances(unit(as_matrix(b.column("v"))))
+            cell = d.argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell]), b.column("vec_id"), b.column("v")], ["cell", "far", "vec_id", "v"])
+
+    placed = cut(rows.mapInArrow(place, "cell int, far double, vec_id long, v array<double>"), "placed")
+    per_cell, inner, outer = np.zeros(cells, np.int64), np.full(cells, np.inf), np.zeros(cells)
+    for c, *facts in placed.groupBy("cell").agg(F.count("*"), F.min("far"), F.max("far")).collect():  # one row a cell
+        per_cell[c], inner[c], outer[c] = facts
     shares = np.maximum(1, -(-per_cell // PART))
+    spread = F.element_at(F.array(*[F.lit(int(s)) for s in shares]), F.col("cell") + 1)
+    points = placed.select("cell", F.pmod(F.xxhash64("vec_id", "v"), spread).cast("int").alias("part"), "vec_id", "v", F.lit(0).cast("long").alias("q"), F.lit(False).alias("asks"))
 
     def ask(batches):
+        """Each query for its nearest cells, or, where ``last`` is known, for those of the others that may hold a nearer vector."""
         for b in batches:
-            to = index.cells_of(unit(as_matrix(b.column("v"))), visit)
-            row = np.repeat(np.arange(len(to)), visit)
-            cell = to.reshape(-1)
-            live = per_cell[cell] > 0
-            row, cell = row[live], cell[live]
+            d, later = index.distances(unit(as_matrix(b.column("v")))), "last" in b.schema.names
+            nearest = np.zeros(d.shape, bool)
+            np.put_along_axis(nearest, d.argsort(axis=1, kind="stable")[:, :visit], True, axis=1)
+            if later:
+                reach = np.sqrt(np.maximum(0, 2 - 2 * b.column("last").to_numpy()))[:, None] + FAR
+                nearest = ~nearest & (d - outer <= reach) & (inner - d <= reach)
+            row, cell = np.nonzero(nearest & (per_cell > 0))
             row, at = np.repeat(row, shares[cell]), np.repeat(cell, shares[cell])
             part = np.arange(len(at)) - np.repeat(np.cumsum(shares[cell]) - shares[cell], shares[cell])
             take = pa.array(row)
@@ -173,22 +164,21 @@ def _indexed(rows: DataFrame, n: int, is_query: str, k: int, probe: float, reran
                 [pa.array(at.astype(np.int32)), pa.array(part.astype(np.int32)), b.column("vec_id").take(take), b.column("v").take(take), b.column("q").take(take)], ["cell", "part", "vec_id", "v", "q"]
             )
 
-    spread = F.element_at(F.array(*[F.lit(int(s)) for s in shares]), F.col("cell") + 1)
-    points = placed.select("cell", F.pmod(F.xxhash64("vec_id", "v"), spread).cast("int").alias("part"), "vec_id", "v", F.lit(0).cast("long").alias("q"), F.lit(False).alias("asks"))
-    asked = _queries(rows, is_query).mapInArrow(ask, "cell int, part int, vec_id long, v array<double>, q long").withColumn("asks", F.lit(True))
-
-    def scan(key, t):
-        cell = key[0].as_py()
-
-        def distances(u, p):
-            codes = index.encode(u[p], np.full(len(p), cell))
-            return lambda own: index.distances(own, cell, codes)
-
-        return _scan(t, distances, k, rerank)
+    def answers(asking: DataFrame) -> DataFrame:
+        asked = asking.mapInArrow(ask, "cell int, part int, vec_id long, v array<double>, q long").withColumn("asks", F.lit(True))
+        return points.unionByName(asked).groupBy("cell", "part").applyInArrow(lambda key, t: _scan(t, k), FOUND)
 
-    return points.unionByName(asked).groupBy("cell", "part").applyInArrow(scan, FOUND)
+    queries = _queries(rows, is_query)
+    found = answers(queries)
+    if visit == cells:
+        return found
+    found = cut(_best(found, k).select("query_id", "q", "vec_id", "score"), "nearest")
+    last = found.groupBy(F.col("query_id").alias("vec_id"), "q").agg(F.when(F.count("*") == k, F.min("score")).otherwise(-1.0).alias("last"))
+    # fewer than k finds so far: any cell may hold more, as no two unit vectors are farther apart than 2
+    return found.union(answers(queries.join(last, ["vec_id", "q"], "left").withColumn("last", F.coalesce("last", F.lit(-1.0)))))
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """In double precision on the vectors as given, over the last axis."""
+    """In double precision on the vectors as given, over the last axis; scaled by powers of two, which changes no digit, so that nothing overflows."""
+    a, b = (np.ldexp(x, -np.frexp(np.abs(x).max(axis=-1, keepdims=True, initial=0))[1]) for x in (a, b))
     return (a * b).sum(axis=-1) / (np.sqrt((a * a).sum(axis=-1)) * np.sqrt((b * b).sum(axis=-1)))

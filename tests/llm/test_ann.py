@@ -52,3 +52,17 @@ def test_other_lengths_and_repeated_queries(spark):
             if q not in (0, 50, 100):
                 assert [v for _, v in got[q]] == want
     assert len({v for _, v in got[0]}) == 5
+
+
+def test_all_of_the_nearest_in_dense_groups_and_far_cells(spark):
+    """Near copies finer than any code of theirs, rows without clusters, few components, and components of any size."""
+    rng = np.random.default_rng(8)
+    dense = np.repeat(rng.normal(size=(4, 16)), 500, axis=0) + rng.normal(size=(2_000, 16)) * 1e-4
+    for x in (dense, rng.normal(size=(2_000, 16)), rng.normal(size=(2_000, 3)), rng.normal(size=(300, 4)) * 10.0 ** rng.integers(-200, 200, (300, 1))):
+        df = spark.createDataFrame([(i, r) for i, r in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+        want = exact(np.arange(len(x)), x / np.abs(x).max(axis=1, keepdims=True), 5)
+        for probe in (0.9, 0.1):
+            got = {}
+            for r in ann.search(df, probe=probe).orderBy("query_id", "rank").collect():
+                got.setdefault(r.query_id, []).append(r.vec_id)
+            assert got == want
