@@ -6,6 +6,7 @@ prefix that words share is worked out once. For unigram models the state is Vite
 best score and last piece. For models of the byte-pair kind, whose segmentation is by merge
 order and not by the sum of scores, it is the last piece of the prefix's encoding: of the
 pieces that end there, the one whose neighbour on its left it would not have merged with.
+Short words of such models go side by side instead, a letter of each at a time, in arrays.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from chronoreel.llm.ragged import Memo, packed
 
 MARK = "▁"
 #: Characters worked on at once, words kept for reuse and pairs of pieces whose fit is kept, in each worker.
-CHUNK, WORDS, PAIRS = 500_000, 100_000, 200_000
+CHUNK, WORDS, PAIRS = 1_000_000, 200_000, 400_000
+#: Steps between states that are kept, and letters up to which words are worked on side by side.
+STEPS, SHORT = 1_000_000, 64
 
 
 def default_model() -> str:
@@ -84,6 +87,133 @@ class Endings:
         return found
 
 
+class Numbers:
+    """From an integer to a number below 2 ** 31, for many at once: ``make`` is asked for those not met yet; beyond ``most`` all begin anew."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most = make, most
+        self._begin(1 << 12)
+
+    def _begin(self, slots: int) -> None:
+        self.key, self.value, self.used = np.full(slots, -1, np.int64), np.zeros(slots, np.int32), 0
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - len(self.key).bit_length())).astype(np.int64)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key, or, negative, of the free one where it belongs (less one)."""
+        at = self._slot(keys)
+        held = self.key[at]
+        live = np.flatnonzero((held != keys) & (held != -1))
+        while len(live):
+            at[live] = (at[live] + 1) & (len(self.key) - 1)
+            held[live] = self.key[at[live]]
+            live = live[(held[live] != keys[live]) & (held[live] != -1)]
+        return np.where(held == -1, -1 - at, at)
+
+    def _put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        if 2 * (self.used + len(keys)) > len(self.key):
+            own = np.flatnonzero(self.key != -1)
+            keys, values = np.concatenate([self.key[own], keys]), np.concatenate([self.value[own], values])
+            self._begin(1 << (4 * len(keys)).bit_length())
+        self.used += len(keys)
+        while len(keys):  # of keys that want one slot the last gets it, the others look on
+            at = -1 - self._find(keys)
+            self.key[at] = keys
+            self.value[at] = values
+            left = self.key[at] != keys
+            keys, values = keys[left], values[left]
+
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        at = self._find(keys)
+        out, miss = self.value[np.maximum(at, 0)], np.flatnonzero(at < 0)
+        if len(miss):
+            new, back = np.unique(keys[miss], return_inverse=True)
+            values = np.fromiter(map(self.make, new.tolist()), np.int32, len(new))
+            if self.used + len(new) > self.most:
+                self._begin(1 << 12)
+            self._put(new, values)
+            out[miss] = values[back]
+        return out
+
+
+class Side:
+    """The forward pass for byte pairs over many words side by side, letter by letter; pieces and states are numbers, letters that are no piece come after the pieces."""
+
+    def __init__(self, model: Model):
+        self.model, self.text = model, sorted(model.live)
+        number = {p: i for i, p in enumerate(self.text)}
+        self.size = np.fromiter(map(len, self.text), np.int64, len(self.text))
+        self.id = np.fromiter((model.ids[p] for p in self.text), np.int32, len(self.text))
+        self.names = sorted({p[:k] for p in self.text for k in range(1, len(p) + 1)} | {""})
+        self.state = {name: i for i, name in enumerate(self.names)}
+        ends = [[number[name[k:]] for k in range(len(name)) if name[k:] in number] for name in self.names]  # longest first
+        self.first = np.concatenate(([0], np.cumsum([len(e) for e in ends])))
+        self.ends = np.array([p for e in ends for p in e], np.int64)
+        self.steps, self.fits = Numbers(self._step, STEPS), Numbers(self._fits, PAIRS)
+
+    def _step(self, key: int) -> int:
+        name = self.names[key >> 21] + chr(key & 0x1FFFFF)
+        while name not in self.state:
+            name = name[1:]
+        return self.state[name]
+
+    def _fits(self, key: int) -> int:
+        left = key >> 32
+        return self.model._apart(self.text[left] if left < len(self.text) else chr(left - len(self.text)), self.text[key & 0xFFFFFFFF])
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one word after another, and how many each has."""
+        letter = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(-length, kind="stable")
+        begin, stop = (np.cumsum(length) - length)[order], np.cumsum(length)[order]
+        longer = np.searchsorted(-length[order], -np.arange(1, int(length.max(initial=0)) + 1), side="right")
+        last, state = len(self.text) + letter, np.zeros(len(words), np.int64)
+        for i, n in enumerate(longer.tolist()):
+            at = begin[:n] + i
+            state = self.steps[state[:n] << 21 | letter[at]].astype(np.int64)
+            j, most = self.first[state], self.first[state + 1]
+            live = np.flatnonzero(j < most)
+            while len(live):
+                piece = self.ends[j[live]]
+                size = self.size[piece]
+                ok = size > i
+                rest = np.flatnonzero(~ok)
+                ok[rest] = self.fits[last[at[live[rest]] - size[rest]] << 32 | piece[rest]] > 0
+                last[at[live[ok]]] = piece[ok]
+                live = live[~ok]
+                j[live] += 1
+                live = live[j[live] < most[live]]
+        place, found, live = [], [], np.flatnonzero(stop > begin)
+        end = stop.copy()
+        while len(live):
+            piece = last[end[live] - 1]
+            end[live] -= np.where(piece < len(self.text), self.size[np.minimum(piece, len(self.text) - 1)], 1)
+            place.append(end[live])
+            found.append(piece)
+            live = live[end[live] > begin[live]]
+        place, found = (np.concatenate(x or [np.zeros(0, np.int64)]) for x in (place, found))
+        whole = np.full(len(letter), -1)
+        whole[place] = found
+        place = np.flatnonzero(whole >= 0)
+        return self._ids(whole[place], np.searchsorted(place, np.cumsum(length)))
+
+    def _ids(self, piece: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces, bytes of those that aren't any, and how many there are in each word, up to so many pieces."""
+        odd = np.flatnonzero(piece >= len(self.text))
+        n, out = np.ones(len(piece), np.int64), self.id[np.minimum(piece, len(self.text) - 1)]
+        if len(odd):
+            spelt, back = np.unique(piece[odd], return_inverse=True)
+            ids = [self.model.spell(chr(c - len(self.text))) for c in spelt.tolist()]
+            n[odd] = np.array([len(x) for x in ids])[back]
+            own = np.repeat(piece >= len(self.text), n)
+            out = np.repeat(out, n)
+            out[own] = [i for k in back.tolist() for i in ids[k]]
+        total = np.concatenate(([0], np.cumsum(n)))[upto]
+        return out, np.diff(total, prepend=0)
+
+
 class Model:
     """Pieces, scores and kind of a model file."""
 
@@ -187,6 +317,14 @@ class Model:
     def endings(self) -> Endings:
         return Endings(self.live if self.merges else self.ids)
 
+    @cached_property
+    def side(self) -> Side:
+        return Side(self)
+
+    def spell(self, letters: str) -> list[int]:
+        """Ids of what is no piece."""
+        return [self.byte[b] for b in letters.encode()] if self.byte else [self.unknown]
+
     # --- the forward pass -------------------------------------------------------------
 
     def encode_words(self, words: list[str]):
@@ -238,18 +376,49 @@ class Model:
             for p in reversed(pieces):
                 if p in known:
                     ids.append(known[p])
-                elif self.byte:
-                    ids += [self.byte[b] for b in p.encode()]
                 else:
-                    ids.append(self.unknown)
+                    ids += self.spell(p)
             out[k] = ids
             before = word
         return out
 
+    def encode_many(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The words in an order of its own, all their ids, and how many each has: short ones of byte pairs side by side."""
+        short = [w for w in words if len(w) <= SHORT] if self.merges and self.live else []
+        other = [w for w in words if len(w) > SHORT] if short else words
+        flat, n = self.side.encode(short) if short else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        _, more, m = packed(other, self.encode_words(other))
+        return short + other, np.concatenate([flat, more]), np.concatenate([n, m])
+
     def decode(self, ids) -> str:
         text = b"".join([self.raw[i] for i in ids]).decode(errors="replace")
         return text[1:] if text[:1] == " " else text
 
+    @cached_property
+    def spelt(self) -> pa.Array:
+        return pa.array(self.raw, pa.binary())
+
+    def decode_many(self, column: pa.Array) -> pa.Array:
+        """The text of each list of ids, null of null: the bytes of all pieces at once, if they are valid."""
+        flat = column.flatten()
+        if flat.null_count:
+            raise ValueError("null among the ids of a text")
+        said = self.spelt.take(flat)
+        upto = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))))
+        _, at, raw = said.buffers()
+        at = np.frombuffer(at, np.int32)[said.offset : said.offset + len(said) + 1].astype(np.int64)[upto]
+        raw = np.frombuffer(raw, np.uint8)[: at[-1]] if raw else np.zeros(0, np.uint8)
+        some = at[:-1][at[:-1] < at[1:]]
+        gone = some[raw[some] == 0x20]  # the space that a text begins with
+        at -= np.searchsorted(gone, at)
+        null = np.append(column.is_null().to_numpy(zero_copy_only=False), False)
+        out = pa.Array.from_buffers(pa.string(), len(column), [pa.array(~null[:-1]).buffers()[1], pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.delete(raw, gone))])
+        try:
+            out.validate(full=True)
+        except pa.ArrowInvalid:
+            out = pa.array([None if x is None else self.decode(x) for x in column.to_pylist()], pa.string())
+        return out
+
 
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _LOADED: dict[str, tuple[Model, Memo]] = {}
@@ -260,7 +429,7 @@ def load(path: str) -> tuple[Model, Memo]:
     """Once per process."""
     if path not in _LOADED:
         m = Model(path)
-        runs = Memo(lambda new: packed(new, m.encode_words(new)), WORDS)
+        runs = Memo(m.encode_many, WORDS)
         _LOADED[path] = m, Memo(lambda words: (words, *runs.ids([m.runs(x) for x in words])), WORDS)
     return _LOADED[path]
 
@@ -290,8 +459,7 @@ def _encoded(batches, path: str, text_col: str):
 def _decoded(batches, path: str, ids_col: str, into: str):
     own, _ = load(path)
     for b in batches:
-        texts = [None if x is None else own.decode(x) for x in b.column(b.schema.get_field_index(ids_col)).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, into])
+        yield pa.RecordBatch.from_arrays([*b.columns, own.decode_many(b.column(b.schema.get_field_index(ids_col)))], [*b.schema.names, into])
 
 
 def encode(docs: DataFrame, model: str | None = None, text_col: str = "text") -> DataFrame:

@@ -57,3 +57,37 @@ def test_edge_rows(spark, model):
     for r in got:
         assert (r.ids is None) == (r.text is None) and list(r.ids or []) == model.lib.encode(r.text or "") and r.n_tokens == len(r.ids or [])
     assert spm.round_trip(edge_docs(spark, [])).count() == 0
+
+
+def test_words_side_by_side_equal_library(spark, model, monkeypatch):
+    """Also where little is kept; new words don't go through the pass letter by letter."""
+    r = random.Random(3)
+    words = sorted({"▁" * r.randrange(3) + "".join(r.choice("aeinstrhéß漢😀xX0.") for _ in range(r.randrange(1, 40))) for _ in range(3_000)} | {"", "a", "▁", "x" * 65})
+    want = {w: ids for w, ids in zip(words, model.encode_words(words), strict=True)}
+    for steps, pairs in ((spm.STEPS, spm.PAIRS), (50, 50)):
+        monkeypatch.setattr(spm, "STEPS", steps)
+        monkeypatch.setattr(spm, "PAIRS", pairs)
+        m = spm.Model(spm.default_model())
+        alone, line = [], m.encode_words
+        m.encode_words = lambda new, alone=alone, line=line: alone.extend(new) or line(new)
+        order, flat, n = m.encode_many(words)
+        assert sorted(order) == words and alone == ["x" * 65] and flat.dtype.kind == "i"
+        at = 0
+        for w, k in zip(order, n.tolist(), strict=True):
+            assert flat[at : at + k].tolist() == want[w], w
+            at += k
+        assert at == len(flat) and len(m.side.fits.key) < 1 << 20
+    assert [len(x) for x in m.encode_many([])] == [0, 0, 0]
+
+
+def test_texts_decoded_at_once(model):
+    import pyarrow as pa
+
+    ids = [None, [], model.lib.encode("  a b"), model.lib.encode("é 漢😀"), model.lib.encode(" "), None]
+    broken = [model.byte[0xE6], model.byte[0xBC]]  # two bytes of three, which the next text's first would end
+    for lists in (ids, [*ids, broken, [model.byte[0xA2]]], [[]], [None], []):
+        column = pa.array([[9], *lists, [9]], pa.list_(pa.int32())).slice(1, len(lists))
+        assert model.decode_many(column).to_pylist() == [None if x is None else model.decode(x) for x in lists]
+    for wrong in ([len(model.raw)], [None]):
+        with pytest.raises((pa.ArrowException, IndexError, ValueError)):
+            model.decode_many(pa.array([wrong], pa.list_(pa.int32())))
