@@ -34,11 +34,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tags of tables of whole texts, which stay on disk beside what comes after them and are packed closer.
+WHOLE = {"rooted"}
+
+
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd" if tag in WHOLE else None)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     atexit.register(_remove, spark, path)
@@ -105,6 +109,7 @@ def give_back(spark: SparkSession) -> None:
     A task for each core, so that each executor at rest gets some. On a local master the driver's heap is the executor's.
     """
     collect_garbage(spark)
+    release()
     if not is_local(spark):
         cores = spark.sparkContext.defaultParallelism
         spark.range(0, cores, 1, cores).selectExpr("java_method('java.lang.System', 'gc')").collect()

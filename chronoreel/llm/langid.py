@@ -87,12 +87,13 @@ def train(texts: list[bytes], labels: list[str], epochs: int = 6, rate: float =
     for t in texts:
         parts = [np.unique(b + (k << BUCKET_BITS), return_counts=True) for k, (b, _) in enumerate(subwords([t]))]
         at, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        features.append((at.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)[:, None]))  # the most of the driver's memory
+        features.append((at.astype(np.int32), n.astype(np.min_scalar_type(n.max(initial=0))), max(1, n.sum())))  # the most of the driver's memory
     own = np.flatnonzero(~held)
     weight = (len(own) / len(languages)) / np.maximum(1, np.bincount(y[own], minlength=len(languages)))
     for epoch in range(epochs):
         for i in rng.permutation(own):
-            at, share = features[i]
+            at, n, total = features[i]
+            share = (n / np.float64(total)).astype(np.float32)[:, None]
             step = rate * (1 - epoch / epochs) * min(3.0, weight[y[i]])
             mean = (e[at] * share).sum(axis=0)
             g = softmax(mean @ w + bias)
@@ -103,7 +104,7 @@ def train(texts: list[bytes], labels: list[str], epochs: int = 6, rate: float =
             e[at] -= step * share * back * 5
     model = Model(languages, (e @ w).reshape(len(SIZES), 1 << BUCKET_BITS, -1), bias)
     if held.any():
-        z, t = model.logits([x for x, h in zip(texts, held, strict=True) if h]), y[held]
+        z, t = np.concatenate([model.logits([texts[i]]) for i in np.flatnonzero(held)]), y[held]
         loss = lambda at: -np.log(np.maximum(softmax(z / at)[np.arange(len(t)), t], 1e-12)).mean()
         model.temperature = float(min(np.geomspace(0.2, 8, 60), key=loss))
         best = softmax(z / model.temperature).max(axis=1)
@@ -134,7 +135,10 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
             texts.append(r.text.encode())
             labels.append(r.label)
     del found
-    return train(texts, labels) if texts else None
+    model = train(texts, labels) if texts else None
+    del texts
+    release()
+    return model
 
 
 def has_letter(text: str | None) -> bool:

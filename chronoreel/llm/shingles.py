@@ -8,7 +8,9 @@ set with the least of those that share a shingle, then of sets that are still ap
 A shared order of shingles, frequent ones last, makes candidates complete: two sets of the
 wanted similarity share a shingle within the first part of each (all but what the overlap
 needs, plus one). Frequent shingles are told from a sample; they change the order, which may
-be any, and so the work but never the result.
+be any, and so the work but never the result. The sample grows with the table, so a shingle
+counts as frequent from the same number of texts on, and candidates grow as the table does.
+The most frequent are ordered by how many texts have them, the others are bits of a filter.
 
 Candidates go by sketches first: a set's shingles, hashed to about as many bits, each bit the
 parity of how many fell on it. Two sketches differ in no more bits than their sets in shingles,
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 from chronoreel.llm.common import as_bytes, collect_garbage, components, cut, drop, hash_words, mix64, release, split_words
 from chronoreel.llm.simhash import fingerprint, hamming_links
 
-#: Texts that frequent shingles are told from, in how many of them one is frequent, and how many are told apart.
-SAMPLE, OFTEN, MOST = 10_000, 3, 100_000
+#: Texts and part of all texts that frequent shingles are told from, whichever are more; in how many of them one is frequent, how many are told apart, and bits for the others.
+SAMPLE, PART, OFTEN, MOST, BITS = 10_000, 0.2, 3, 50_000, 1 << 24
 #: Bytes of text worked on at once, and prefix entries wanted in a bucket.
 PIECE, BUCKET = 2_000_000, 400_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -181,10 +183,20 @@ def links(docs: DataFrame, shingle: int = 5, similarity: Fraction = Fraction(4,
             for _, _, t in _pieces(b.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(t, shingle)[0].view(np.int64))], ["shingle"])
 
-    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(min(1.0, SAMPLE / max(1, n_texts)) * 1_000_000)).distinct()
-    seen = some.mapInArrow(list_shingles, "shingle long").groupBy("shingle").count().where(F.col("count") >= OFTEN)
-    often = sorted((int(np.int64(s).view(np.uint64)), c) for s, c in seen.orderBy(F.desc("count"), "shingle").limit(MOST).collect())
-    hot, rank = np.array([s for s, _ in often], np.uint64), np.array([c for _, c in often], np.int64)
+    share = min(1.0, max(SAMPLE / max(1, n_texts), PART)) if SAMPLE else 0.0
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)).distinct()
+    seen = cut(some.mapInArrow(list_shingles, "shingle long").groupBy("shingle").count().where(F.col("count") >= OFTEN), "seen")
+    often = seen.orderBy(F.desc("count"), "shingle").limit(MOST).toArrow()
+    hot, rank = often.column("shingle").to_numpy().view(np.uint64), often.column("count").to_numpy().astype(np.int64)
+    order = np.argsort(hot)
+    hot, rank = hot[order], rank[order]
+    n_seen = seen.count()
+    others = 1 << min(BITS.bit_length() - 1, max(6, (8 * n_seen).bit_length()))
+    filter_of = np.zeros(others // 64, np.uint64)
+    if n_seen > MOST:
+        words = seen.selectExpr(f"shiftright(shingle & {others - 1}L, 6) AS at", "shiftleft(1L, cast(shingle & 63 AS int)) AS bit").groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+        filter_of[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    drop(seen)
 
     def prefixes(batches):
         release()
@@ -193,10 +205,11 @@ def links(docs: DataFrame, shingle: int = 5, similarity: Fraction = Fraction(4,
                 h, n = shingle_sets(t, shingle)
                 fp = np.fromiter((fingerprint(x, shingle) for x in t), np.uint64, len(t))
                 doc = np.repeat(np.arange(len(n)), n)
-                late = np.zeros(len(h), np.int64)
+                low = h & np.uint64(others - 1)
+                late = ((filter_of[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1)).astype(np.int64)
                 if len(hot):
                     i = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
-                    late = np.where(hot[i] == h, rank[i], 0)
+                    late = np.where(hot[i] == h, rank[i], late)
                 order = np.lexsort((h, late, doc))
                 pos = np.arange(len(h)) - (np.cumsum(n) - n)[doc]
                 keep = np.where(n > 0, n - -(-n * p // q) + 1, 0)
@@ -207,7 +220,7 @@ def links(docs: DataFrame, shingle: int = 5, similarity: Fraction = Fraction(4,
     own = texts.mapInArrow(prefixes, "node long, fp long, n int, prefix binary, sketch binary").where("n > 0")
     nodes = cut(own.groupBy("node").agg(F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")), "prefixes")
 
-    del own, some, seen
+    del own, some, seen, often
     collect_garbage(spark)
 
     # by SimHash: a forest of links between fingerprints, and of each fingerprint's sets to the least of them

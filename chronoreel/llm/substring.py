@@ -247,10 +247,15 @@ def repeats(chunks: DataFrame, window: int, spark) -> DataFrame:
         name = np.concatenate([unsqueeze(a)[0] for a in answers] or [np.zeros(0, np.uint64)])
         return names.table([[chunk], [own["docs"].to_pybytes()], [squeeze(unsqueeze(own["at"])[0], name[unsqueeze(own["places"])[0]])]], NAMED)
 
-    answers = names.answer_words(names.ask_words(text, buckets), buckets, name_words)
-    named = cut(names.with_answers(text.select("chunk", "docs", "at", "words").mapInArrow(places, PLACED), answers, first, NAMED), "round0")
+    # answers and places are written, so that neither the requests nor the words are kept beside what comes of them
+    answers = cut(names.answer_words(names.ask_words(text, buckets), buckets, name_words), "answers")
+    collect_garbage(spark)
+    placed = cut(text.select("chunk", "docs", "at", "words").mapInArrow(places, PLACED), "places")
     drop(text)
-    del text, answers
+    named = cut(names.with_answers(placed, answers, first, NAMED), "round0")
+    drop(placed)
+    drop(answers)
+    del text, placed, answers
     collect_garbage(spark)
     state = named
     for level, limit in enumerate(limits_of(window), 1):

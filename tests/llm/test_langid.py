@@ -36,3 +36,16 @@ def test_subwords_stay_within_their_text():
     one = [b.tolist() for b, _ in langid.subwords([b"Abc d", b"", b"xyz"])]
     apart = [sum((b.tolist() for b, _ in [list(langid.subwords([t]))[k] for t in (b"Abc d", b"", b"xyz")]), []) for k in range(len(langid.SIZES))]
     assert one == apart
+
+
+def test_learning_holds_little_beside_the_texts():
+    import random
+    import tracemalloc
+
+    r = random.Random(4)
+    texts = [" ".join("".join(r.choice("aeinstrhld") for _ in range(r.randrange(2, 9))) for _ in range(1_500)).encode() for _ in range(150)]
+    tracemalloc.start()
+    langid.train(texts, ["en", "de", "fr"] * 50, epochs=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24e6

@@ -120,3 +120,22 @@ def test_whole_sets_move_for_pairs_alone_that_are_nearly_similar(spark, monkeypa
     df = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in docs], DOC_SCHEMA)
     assert sorted(r.doc_id for r in cp.simhash_near_dedup(spark, df, "").collect()) == list(range(30))
     assert sum(moved) == 2
+
+
+def test_shingles_of_a_fixed_number_of_texts_make_no_pairs_in_larger_tables(spark, monkeypatch):
+    """Ten lines, of 60 texts each, that a sample of 20 texts can't tell; told apart one by one, or by the filter."""
+    docs = [(60 * g + j, " ".join([*(f"line{g}x{k}" for k in range(40)), *(f"{g}own{j}x{k}" for k in range(60))])) for g in range(10) for j in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    made, cut = [], shingles.cut
+
+    def kept(df, tag):
+        out = cut(df, tag)
+        made.extend([out.count()] if tag == "pairs" else [])
+        return out
+
+    monkeypatch.setattr(shingles, "cut", kept)
+    monkeypatch.setattr(shingles, "SAMPLE", 20)
+    for most in (50_000, 0):
+        monkeypatch.setattr(shingles, "MOST", most)
+        made.clear()
+        assert shingles.links(df).count() == 0 and sum(made) < 600

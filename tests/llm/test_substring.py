@@ -100,3 +100,21 @@ def test_one_very_long_text(spark):
     rows = [(1, big), (2, "z " * 60), (3, "y" * 30_000_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert [r[:3] for r in rows_of(substring.remove_repeats(df))] == [(1, 200_001, 0), (2, 60, 60), (3, 1, 0)]
+
+
+def test_words_are_gone_when_their_names_are_written(spark, monkeypatch):
+    from pathlib import Path
+
+    there, cut = [], substring.cut
+
+    def kept(df, tag):
+        out = cut(df, tag)
+        folder = Path(out._cut_path.removeprefix("file://")).parent
+        there.extend([p.name.split("-")[0] for p in folder.iterdir()] if tag == "round0" else [])
+        return out
+
+    monkeypatch.setattr(substring, "cut", kept)
+    rows = [(i, " ".join(f"w{j + i // 2}" for j in range(80))) for i in range(6)]
+    got = {r.doc_id: r.n_removed for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 50).collect()}
+    assert got == {0: 0, 1: 80, 2: 79, 3: 80, 4: 79, 5: 80}
+    assert "round0" in there and "words" not in there
