@@ -12,9 +12,14 @@ be any, and so the work but never the result. The sample grows with the table, s
 counts as frequent from the same number of texts on, and candidates grow as the table does.
 The most frequent are ordered by how many texts have them, the others are bits of a filter.
 
-Candidates go by sketches first: a set's shingles, hashed to about as many bits, each bit the
+Candidates go by sketches first: a set's shingles, hashed to a few times as many bits, each bit the
 parity of how many fell on it. Two sketches differ in no more bits than their sets in shingles,
 so a pair whose sketches differ too much is no link, and whole sets move for few pairs alone.
+
+Sets of one group need no comparison, and a group of near copies may leave many sets alone at
+first. So sets that are apart aren't paired at once: sketches go to their shingles, and each
+set takes the nearest one of another group, until that links nothing; pairs that are left are
+those of different groups whose sketches are near. A set is paired once a round, whatever a group's size.
 """
 
 from __future__ import annotations
@@ -31,9 +36,12 @@ from chronoreel.llm.simhash import fingerprint, hamming_links
 
 #: Texts and part of all texts that frequent shingles are told from, whichever are more; in how many of them one is frequent, how many are told apart, and bits for the others.
 SAMPLE, PART, OFTEN, MOST, BITS = 10_000, 0.2, 3, 50_000, 1 << 24
+#: Bits of a sketch in multiples of the least ones; rounds in which each set takes its nearest before all pairs left are checked.
+FINE, ROUNDS = 4, 4
 #: Bytes of text worked on at once, and prefix entries wanted in a bucket.
 PIECE, BUCKET = 2_000_000, 400_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+PLACED = ["root", "bucket", "shingle", "node", "n", "pos"]
 
 
 def shingle_sets(texts: list[bytes], shingle: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -64,9 +72,9 @@ def set_names(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(n > 0, mix64(total[stop] - total[stop - n] + n.astype(np.uint64), 10), np.uint64(0)).view(np.int64)
 
 
-def sketches(h: np.ndarray, n: np.ndarray) -> list[bytes]:
-    """Parities of each set's shingles by their low bits, in as many bits as the set has shingles or up to twice that, 256 at least."""
-    bits = np.int64(1) << np.ceil(np.log2(np.maximum(n, 256))).astype(np.int64)
+def sketches(h: np.ndarray, n: np.ndarray, fine: int = 1) -> list[bytes]:
+    """Parities of each set's shingles by their low bits, in as many bits as the set has shingles or up to twice that, 256 at least; ``fine`` times as many, a power of two."""
+    bits = np.int64(fine) << np.ceil(np.log2(np.maximum(n, 256))).astype(np.int64)
     stop = np.cumsum(bits)
     at = np.repeat(stop - bits, n) + (h & np.repeat(bits - 1, n).astype(np.uint64)).astype(np.int64)
     raw = np.packbits((np.bincount(at, minlength=int(bits.sum())) & 1).astype(np.uint8), bitorder="little").tobytes()
@@ -84,6 +92,34 @@ def sketch_distances(x: list[bytes], y: list[bytes]) -> np.ndarray:
     return out
 
 
+class Folded:
+    """Sketches side by side, in their own size and folded to each smaller one."""
+
+    def __init__(self, made: list[bytes]):
+        self.size = np.fromiter(map(len, made), np.int64, len(made))
+        self.of = {}
+        for k in np.unique(self.size).tolist():
+            place, parts, upto = np.zeros(len(made), np.int64), [], 0
+            for larger in np.unique(self.size[self.size >= k]).tolist():
+                rows = np.flatnonzero(self.size == larger)
+                own = np.frombuffer(b"".join([made[i] for i in rows]), np.uint64).reshape(len(rows), -1, k // 8)
+                parts.append(np.bitwise_xor.reduce(own, axis=1))
+                place[rows] = upto + np.arange(len(rows))
+                upto += len(rows)
+            self.of[k] = np.concatenate(parts), place
+
+    def distances(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """In how many bits the sketches numbered ``a`` and ``b`` differ, the longer one folded."""
+        least, out = np.minimum(self.size[a], self.size[b]), np.zeros(len(a), np.int64)
+        for k in np.unique(least).tolist():
+            bits, place = self.of[k]
+            rows, step = np.flatnonzero(least == k), max(1, PIECE * 8 // k)
+            for i in range(0, len(rows), step):
+                r = rows[i : i + step]
+                out[r] = np.bitwise_count(bits[place[a[r]]] ^ bits[place[b[r]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def _pieces(column: pa.Array):
     """(from, to, texts) of a batch, a bounded part of the text at a time."""
     texts, i, held = as_bytes(column), 0, 0
@@ -130,10 +166,24 @@ def links(docs: DataFrame, shingle: int = 5, similarity: Fraction = Fraction(4,
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), _binaries(*shingle_sets(t, shingle))], ["node", "shingles"])
 
     def checked(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs that are similar: by sketches first, then on the whole sets, which are made again from one text each."""
+        """Those of the pairs that are similar: by sketches first, then on the whole sets."""
         sketched = nodes.select("node", "n", "sketch")
         both = pairs.join(sketched.toDF("a", "n_a", "of_a"), "a").join(sketched.toDF("b", "n_b", "of_b"), "b").select("a", "b", "n_a", "n_b", "of_a", "of_b")
         pairs = cut(both.mapInArrow(likely, "a long, b long"), "likely")
+        del both
+        sets = whole_sets(pairs)
+        out = similar(pairs, sets)
+        drop(sets)
+        drop(pairs)
+        collect_garbage(spark)
+        return out
+
+    def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        both = pairs.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b").select("a", "b", "of_a", "of_b")
+        return cut(both.mapInArrow(check, "a long, b long"), "similar")
+
+    def whole_sets(pairs: DataFrame) -> DataFrame:
+        """``node, shingles`` of each set in the pairs, made again from one text each."""
         wanted = cut(pairs.selectExpr("a AS node").union(pairs.selectExpr("b")).distinct(), "wanted")
         collect_garbage(spark)
         # which names are wanted, some more with them by chance: most texts needn't move
@@ -154,13 +204,10 @@ def links(docs: DataFrame, shingle: int = 5, similarity: Fraction = Fraction(4,
 
         one = texts.mapInArrow(some, "text string, node long").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
         sets = cut(one.mapInArrow(whole, "node long, shingles binary"), "sets")
-        both = pairs.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b").select("a", "b", "of_a", "of_b")
-        out = cut(both.mapInArrow(check, "a long, b long"), "similar")
-        for x in (sets, wanted, pairs):
-            drop(x)
-        del both, one, found
+        drop(wanted)
+        del one, found
         collect_garbage(spark)
-        return out
+        return sets
 
     def likely(batches):
         for b in batches:
@@ -214,7 +261,7 @@ def links(docs: DataFrame, shingle: int = 5, similarity: Fraction = Fraction(4,
                 pos = np.arange(len(h)) - (np.cumsum(n) - n)[doc]
                 keep = np.where(n > 0, n - -(-n * p // q) + 1, 0)
                 first = order[pos < keep[doc]]
-                yield pa.RecordBatch.from_arrays([pa.array(set_names(h, n)), pa.array(fp.view(np.int64)), pa.array(n.astype(np.int32)), _binaries(h[first], keep), pa.array(sketches(h, n), pa.binary())], ["node", "fp", "n", "prefix", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(set_names(h, n)), pa.array(fp.view(np.int64)), pa.array(n.astype(np.int32)), _binaries(h[first], keep), pa.array(sketches(h, n, FINE), pa.binary())], ["node", "fp", "n", "prefix", "sketch"])
 
     # texts with one set may differ in a repeat, and so in their fingerprint: the least stands for the set
     own = texts.mapInArrow(prefixes, "node long, fp long, n int, prefix binary, sketch binary").where("n > 0")
@@ -243,12 +290,12 @@ def links(docs: DataFrame, shingle: int = 5, similarity: Fraction = Fraction(4,
                 s = slice(i, i + 500_000)
                 take = pa.array(row[s])
                 columns = [b.column("root").take(take), pa.array((mix64(h[s], 11) % np.uint64(buckets)).astype(np.int32)), pa.array(h[s].view(np.int64)), b.column("node").take(take), b.column("n").take(take), pa.array(pos[s].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["root", "bucket", "shingle", "node", "n", "pos"])
+                yield pa.RecordBatch.from_arrays(columns, PLACED)
 
     def sorted_entries(t):
         s, root, n, node, pos = (t.column(c).to_numpy() for c in ("shingle", "root", "n", "node", "pos"))
         order = np.lexsort((node, n, s))
-        return s[order], root[order], n[order].astype(np.int64), node[order], pos[order].astype(np.int64)
+        return order, s[order], root[order], n[order].astype(np.int64), node[order], pos[order].astype(np.int64)
 
     def fits(n, pos, a, b):
         """Whether two entries of one shingle may belong to sets similar enough, by their sizes and what is left of them."""
@@ -259,9 +306,23 @@ def links(docs: DataFrame, shingle: int = 5, similarity: Fraction = Fraction(4,
         found = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *parts]), axis=0)
         return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
+    def some_fit(key, t):
+        """Entries of shingles that several groups have, if the smallest set there that is large enough leaves them a chance."""
+        order, s, root, n, _, pos = sorted_entries(t)
+        if not len(s):
+            return t.select(PLACED)
+        new = np.concatenate(([True], s[1:] != s[:-1]))
+        begin, of = np.flatnonzero(new), np.cumsum(new) - 1
+        several = np.minimum.reduceat(root, begin) < np.maximum.reduceat(root, begin)
+        every, wide = np.arange(len(s)), int(n.max()) + 1
+        other = np.searchsorted(of * wide + n, of * wide + -(-n * p // q))
+        other = np.minimum(other + (other == every), len(s) - 1)
+        live = several[of] & (other != every) & (s[other] == s) & (np.minimum(n, n[other]) * q >= np.maximum(n, n[other]) * p) & ((n - pos) * (p + q) >= p * (n + n[other]))
+        return t.select(PLACED).take(pa.array(order[live]))
+
     def stars(key, t):
         """Each set with the one before it in size and with the middle one among those of its shingle: no more pairs than twice the entries."""
-        s, root, n, node, pos = sorted_entries(t)
+        _, s, root, n, node, pos = sorted_entries(t)
         new = np.concatenate((np.ones(min(1, len(s)), bool), s[1:] != s[:-1]))
         begin = np.flatnonzero(new)
         size = np.diff(begin, append=len(s))
@@ -273,33 +334,119 @@ def links(docs: DataFrame, shingle: int = 5, similarity: Fraction = Fraction(4,
             out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
         return unique(out)
 
+    def apart(s, root, n, pos):
+        """Pairs of entries of a shingle that fit and are in different groups. All but the sets of a shingle's largest group go along its sets, up and down."""
+        if not len(s):
+            return
+        order = np.lexsort((root, s))
+        new = np.concatenate(([True], (s[order[1:]] != s[order[:-1]]) | (root[order[1:]] != root[order[:-1]])))
+        group, begin = np.cumsum(new) - 1, np.flatnonzero(new)
+        size = np.diff(begin, append=len(s))
+        by = np.lexsort((size, s[order[begin]]))
+        last = np.concatenate((s[order[begin[by[1:]]]] != s[order[begin[by[:-1]]]], [True]))
+        other = np.ones(len(s), bool)
+        other[order[np.isin(group, by[last])]] = False
+        for way in (1, -1):
+            live, d = np.flatnonzero(other), way
+            while len(live):
+                live = live[(live + d >= 0) & (live + d < len(s))]
+                # sets are in order of size, so a pair too uneven ends its row
+                live = live[(s[live] == s[live + d]) & (np.minimum(n[live], n[live + d]) * q >= np.maximum(n[live], n[live + d]) * p)]
+                a = live[(root[live] != root[live + d]) & ((way > 0) | ~other[live + d])]
+                a = a[fits(n, pos, a, a + d)]
+                if len(a):
+                    yield a, a + d
+                d += way
+
+    def still_apart(key, t):
+        """Entries that are in a pair of ``apart``."""
+        order, s, root, n, _, pos = sorted_entries(t)
+        live = np.zeros(len(s), bool)
+        for a, b in apart(s, root, n, pos):
+            live[a] = live[b] = True
+        return t.select(PLACED).take(pa.array(order[live]))
+
+    def near_pairs(t, use):
+        """Gives ``use`` the pairs of ``apart`` whose sketches are near, by numbers of sets, and how near; a number's name is returned."""
+        order, s, root, n, node, pos = sorted_entries(t)
+        names, first, number = np.unique(node, return_index=True, return_inverse=True)
+        made = Folded(t.column("sketch").take(pa.array(order[first])).to_pylist())
+        held, many = [], 0
+
+        def flush():
+            pairs = np.unique(np.concatenate(held))
+            x, y = pairs // len(names), pairs % len(names)
+            d = made.distances(x, y)
+            near = d * (p + q) <= (q - p) * (n[first[x]] + n[first[y]])
+            use(x[near], y[near], d[near])
+
+        for a, b in apart(s, root, n, pos):
+            a, b = number[a], number[b]
+            held.append(np.minimum(a, b) * len(names) + np.maximum(a, b))
+            many += len(a)
+            if many > 1_000_000:
+                flush()
+                held, many = [], 0
+        if held:
+            flush()
+        return names
+
+    def nearest(key, t):
+        """Each set with the one of another group whose sketch is nearest, if near enough: no more pairs than sets."""
+        best = {}
+
+        def use(x, y, d):
+            x, y, d = np.concatenate([best.get("x", x[:0]), x, y]), np.concatenate([best.get("y", x[:0]), y, x]), np.concatenate([best.get("d", d[:0]), d, d])
+            order = np.lexsort((y, d, x))
+            first = order[np.concatenate((np.ones(min(1, len(x)), bool), x[order[1:]] != x[order[:-1]]))]
+            best.update(x=x[first], y=y[first], d=d[first])
+
+        names = near_pairs(t, use)
+        if not best:
+            return unique([])
+        x, y = names[best["x"]], names[best["y"]]
+        return unique([np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)])
+
     def rest(key, t):
-        """All sets of a shingle that are in different groups: groups one after another, each against those behind it."""
-        s, root, n, node, pos = sorted_entries(t)
-        live, d, out, held = np.arange(len(s)), 1, [], 0
-        while len(live):
-            live = live[live + d < len(s)]
-            # the larger set comes later, so a pair too uneven ends its row
-            live = live[(s[live] == s[live + d]) & (n[live] * q >= n[live + d] * p)]
-            a = live[root[live] != root[live + d]]
-            a = a[fits(n, pos, a, a + d)]
-            x, y = node[a], node[a + d]
-            out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
-            held += len(a)
-            if held > 2_000_000:
-                out, held = [np.unique(np.concatenate(out), axis=0)], 0
-            d += 1
-        return unique(out)
+        """All sets of a shingle that are in different groups and whose sketches are near."""
+        out = []
+        names = near_pairs(t, lambda x, y, d: out.append(np.stack([x, y], axis=1)))
+        return unique([names[x] for x in out])
 
-    for pair in (stars, rest):
+    def placed(entries: DataFrame) -> DataFrame:
+        """The rows with the groups that all links so far make."""
         roots = components(found).withColumnRenamed("root", "of")
-        rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("of", "node")).select("node", "n", "prefix", "root")
-        placed = rooted.mapInArrow(spread, "root long, bucket int, shingle long, node long, n int, pos int")
-        pairs = cut(placed.groupBy("bucket").applyInArrow(pair, "a long, b long").distinct(), "pairs")
-        del roots, rooted, placed
-        collect_garbage(spark)
-        found = cut(found.union(checked(pairs)), "links")
+        return entries.join(roots, "node", "left").withColumn("root", F.coalesce("of", "node")).drop("of")
+
+    def pairs_of(entries: DataFrame, pair) -> DataFrame:
+        return cut(entries.groupBy("bucket").applyInArrow(pair, "a long, b long").distinct(), "pairs")
+
+    schema = "root long, bucket int, shingle long, node long, n int, pos int"
+    spreads = placed(nodes.select("node", "n", "prefix")).mapInArrow(spread, schema)
+    entries = cut(spreads.groupBy("bucket").applyInArrow(some_fit, schema), "entries")
+    del spreads
+    collect_garbage(spark)
+    pairs = pairs_of(entries, stars)
+    found = cut(found.union(checked(pairs)), "links")
+    drop(pairs)
+
+    left = cut(placed(entries.drop("root")).groupBy("bucket").applyInArrow(still_apart, schema), "left")
+    drop(entries)
+    sketched = left.join(nodes.select("node", "sketch"), "node")
+    pairs, sets, turn = pairs_of(sketched, nearest), None, 1
+    while not pairs.isEmpty():
+        if sets is None:  # every set with a near one is in a pair of the first round, so later ones need no others
+            sets = whole_sets(pairs)
+            sketched = cut(sketched.drop("root").join(sets.select("node"), "node", "left_semi"), "sketched")
+        good = similar(pairs, sets)
+        found = cut(found.union(good), "links")
         drop(pairs)
+        if turn > ROUNDS:
+            break
+        turn = turn + 1 if turn < ROUNDS and not good.isEmpty() else ROUNDS + 1
+        pairs = pairs_of(placed(sketched), nearest if turn <= ROUNDS else rest)
+    for x in (pairs, sets, sketched, left):
+        drop(x)
     drop(nodes)
     return found
 

@@ -139,3 +139,44 @@ def test_shingles_of_a_fixed_number_of_texts_make_no_pairs_in_larger_tables(spar
         monkeypatch.setattr(shingles, "MOST", most)
         made.clear()
         assert shingles.links(df).count() == 0 and sum(made) < 600
+
+
+def test_sets_alone_beside_a_large_group_make_few_pairs(spark, monkeypatch):
+    """Copies with one word changed are linked, and others with eight are similar to none; all share most shingles."""
+    rng = np.random.default_rng(3)
+    base, docs = [f"w{i}" for i in range(300)], []
+    for i in range(400):
+        at = set(rng.choice(300, 8 if i % 2 else 1, replace=False).tolist())
+        docs.append((i, " ".join(f"own{i}x{j}" if j in at else w for j, w in enumerate(base))))
+    made, cut = [], shingles.cut
+
+    def kept(df, tag):
+        out = cut(df, tag)
+        made.extend([out.count()] if tag == "pairs" else [])
+        return out
+
+    monkeypatch.setattr(shingles, "cut", kept)
+    monkeypatch.setattr(shingles, "SAMPLE", 0)
+    df = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in docs], DOC_SCHEMA).repartition(4)
+    got = sorted(r.doc_id for r in cp.simhash_near_dedup(spark, df, "").collect())
+    assert got == sorted(set(groups(docs).values())) and len(got) > 190
+    assert sum(made) < 20 * len(docs)
+
+
+def test_rounds_that_end_early_leave_no_link_out(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "SAMPLE", 0)
+    docs = edited()
+    df = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in docs], DOC_SCHEMA)
+    for rounds in (1, 2):
+        monkeypatch.setattr(shingles, "ROUNDS", rounds)
+        got = cp.simhash_near_dedup(spark, df, "").collect()
+        assert sorted(r.doc_id for r in got) == sorted(set(groups(docs).values()))
+
+
+def test_folded_sketches_are_as_far_apart_as_pair_by_pair():
+    rng = np.random.default_rng(5)
+    n = np.array([0, 3, 255, 257, 300, 600, 1_100, 5_000])
+    made = shingles.sketches(np.sort(rng.integers(0, 1 << 64, n.sum(), np.uint64)), n, 4)
+    assert [len(x) * 8 for x in made] == [1024, 1024, 1024, 2048, 2048, 4096, 8192, 32768]
+    a, b = np.array(list(combinations(range(len(n)), 2))).T
+    assert shingles.Folded(made).distances(a, b).tolist() == shingles.sketch_distances([made[i] for i in a], [made[i] for i in b]).tolist()
