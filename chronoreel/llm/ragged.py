@@ -58,11 +58,12 @@ class Memo:
         more = np.zeros(len(fresh), np.int64)
         self.begin, self.n = np.concatenate([self.begin, more]), np.concatenate([self.n, more])
         code, flat, begin, n = self.old
-        kept = [s for s in fresh if s in code]
+        found = list(map(code.get, fresh))
+        kept = [s for s, i in zip(fresh, found, strict=True) if i is not None]
         if kept:
-            at = np.fromiter(map(code.__getitem__, kept), np.int64, len(kept))
+            at = np.fromiter((i for i in found if i is not None), np.int64, len(kept))
             self._add(kept, pick(flat, begin[at], n[at]), n[at])
-            fresh = [s for s in fresh if s not in code]
+            fresh = [s for s, i in zip(fresh, found, strict=True) if i is None]
         if fresh:
             self._add(*self.encode(fresh))
 
@@ -75,11 +76,15 @@ class Memo:
         self.used += len(more)
 
     def each(self, strings: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Where each string's ids are: the array that holds them, their begin in it, and how many."""
+        """Where the ids of each of these distinct strings are: the array that holds them, their begin in it, and how many."""
         if len(self.code) > self.most:
             self.old = (self.code, self.flat, self.begin, self.n)
             self._begin()
-        code = np.fromiter(map(self.code.__getitem__, strings), np.int64, len(strings))
+        at, n = list(map(self.code.get, strings)), len(self.code)
+        self.code.fresh = [s for s, i in zip(strings, at, strict=True) if i is None]
+        self.code.update(zip(self.code.fresh, range(n, n + len(self.code.fresh)), strict=True))
+        fresh = iter(range(n, n + len(self.code.fresh)))
+        code = np.fromiter([next(fresh) if i is None else i for i in at], np.int64, len(at))
         self._learn()
         return self.flat, self.begin[code], self.n[code]
 

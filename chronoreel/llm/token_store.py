@@ -9,6 +9,7 @@ by one table look-up per id.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import struct
@@ -166,6 +167,7 @@ _LETTERS = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4\x
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _ALPHABET = dict.fromkeys(_PRINTED) | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
 _ALPHABET = {b: b if c is None else c for b, c in _ALPHABET.items()}
+_ALPHABET_LINE = chr(_ALPHABET[0x0A])
 _LOADED: dict[str, Tokenization] = {}
 KEPT.append(_LOADED)
 
@@ -236,7 +238,9 @@ class Tokenization:
         for x in strings:
             (words if _LETTERS.fullmatch(x) else plain if _PLAIN.fullmatch(x) else rest).append(x)
         tokenize = self.lib.model.tokenize
-        found = [[t.id for t in tokenize(x.decode("latin-1").translate(_ALPHABET))] for x in words]
+        # all words are spelled in one go, a line end between them has a sign of its own
+        spelled = b"\n".join(words).decode("latin-1").translate(_ALPHABET).split(_ALPHABET_LINE) if words else []
+        found = [[t.id for t in tokenize(x)] for x in spelled]
         order, flat, n = packed(words, found)
         parts, sizes = [flat], [n]
         for a in range(0, len(plain), 20_000):
@@ -284,7 +288,13 @@ def load(path: str) -> Tokenization:
 
 def tokenize(texts: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, in UTF-8, as the library's ``encode`` without special tokens gives them, and how many each has."""
-    return load(path).ids(texts)
+    collects = gc.isenabled()
+    gc.disable()  # a list for each word would set it off again and again, and none is in a cycle
+    try:
+        return load(path).ids(texts)
+    finally:
+        if collects:
+            gc.enable()
 
 
 # --- writing and reading ---------------------------------------------------------------

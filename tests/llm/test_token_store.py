@@ -1,3 +1,4 @@
+import gc
 import random
 import zlib
 
@@ -72,3 +73,18 @@ def test_codes_are_optimal_and_limited():
         codes = token_store.codes_of(n.astype(np.uint8))
         marks, _, stream = token_store.pack(ids, codes, n.astype(np.uint8), 64)
         assert (token_store.unpack(np.frombuffer(stream, np.uint8), marks, len(ids), token_store.decode_table(n.astype(np.uint8)), 64) == ids).all()
+
+
+def test_no_garbage_is_looked_for_while_words_are_tokenised():
+    r, ran = random.Random(8), []
+    texts = [" ".join("".join(r.choices("abcdefgh", k=9)) for _ in range(300)) for _ in range(100)]
+    look = lambda phase, info: ran.append(phase)
+    token_store.load(token_store.default_tokenizer())
+    gc.callbacks.append(look)
+    try:
+        ids, n = token_store.tokenize([t.encode() for t in texts], token_store.default_tokenizer())
+    finally:
+        gc.callbacks.remove(look)
+    assert gc.isenabled() and not ran
+    encode = plain()
+    assert ids.tolist() == [i for t in texts for i in encode(t)[:-1]] and len(n) == 100
