@@ -196,10 +196,29 @@ class Forest:
                 self.root = up
 
 
+#: Links that are joined in one task; more of them go by rounds of joins.
+FEW = 500_000
+
+
+def _joined(batches):
+    """``node, root`` of all links, gathered in one place."""
+    release()
+    held = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches]
+    ends = np.concatenate([np.zeros((2, 0), np.int64), *held], axis=1)
+    node, at = np.unique(ends, return_inverse=True)
+    hi, lo = at.reshape(ends.shape)
+    forest = Forest(len(node))
+    forest.link(hi, lo)
+    for i in range(0, len(node), 100_000):
+        s = slice(i, i + 100_000)
+        yield pa.RecordBatch.from_arrays([pa.array(node[s]), pa.array(node[forest.root[s]])], ["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for each node of ``edges(a, b)``; root is the smallest node reachable.
 
-    Large-star and small-star rounds over written tables: each round joins every node with
+    FEW links or fewer between integers are counted and joined in one task. Others go by
+    large-star and small-star rounds over written tables: each round joins every node with
     the least of its neighbours, so a node's links are combined before the exchange and a
     hub's list is never gathered. Ends when a round changes nothing. Null ends are no links.
     """
@@ -207,6 +226,10 @@ def components(edges: DataFrame) -> DataFrame:
     e = cut(
         edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "links"
     )
+    if {kind for _, kind in e.dtypes} == {"bigint"} and e.count() <= FEW:
+        roots = cut(e.coalesce(1).mapInArrow(_joined, "node long, root long"), "roots")
+        drop(e)
+        return roots
     last = None
     while True:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
